@@ -61,13 +61,13 @@ es as (select sample_id, path_key, L, [nodes[i] || '-' || nodes[i+1] for i in ra
 j as (select a.sample_id, a.path_key a, b.path_key b,
         len(list_intersect(a.es, b.es))::double / (2 * a.L - len(list_intersect(a.es, b.es))) jaccard
       from es a join es b on a.sample_id = b.sample_id and a.path_key < b.path_key)
-select * from j where jaccard >= 0.5 - 1e-12""")
+select * from j where jaccard >= 0.25 - 1e-12""")
 def edge_jaccard(spark, sf):
     _, d = fx.dag(spark, sf)
     p = G.sampled_paths(d, fx.MAX_LEN, SAMPLE_K, "cand").select(
         F.concat_ws("|", *CELL).alias("sample_id"), "nodes",
         F.array_join("nodes", "|").alias("path_key"))
-    return D.similar_pairs(p, ["sample_id"], "path_key", 0.5)
+    return D.similar_pairs(p, ["sample_id"], "path_key", 0.25)
 
 
 @query("pathset_jaccard", FEAT_SQL + sample_sql("dup", "gs") + """,
