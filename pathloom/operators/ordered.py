@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.session import materialize
+from pathloom.session import broadcast_if_small, materialize
 
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {
@@ -82,27 +82,78 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         (F.col("__upto") - F.col("n_at") + (F.col("n_at") + 1) / 2.0).alias("avg_rank"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]
-                    ) -> DataFrame:
-    """Exact quantiles with linear interpolation, for groups of any size."""
-    runs = value_ranks(df.where(F.col(value).isNotNull()), keys, value)
-    runs = materialize(runs)
-    sizes = runs.groupBy(*keys).agg(F.sum("n_at").alias("__n"))
-    if keys:
-        tagged = runs.join(sizes, keys)
-    else:
-        n = sizes.first()["__n"]  # one number
-        tagged = runs.withColumn("__n", F.lit(n).cast("bigint"))
-    aggs = []
+BRACKET = 10_000  # accuracy of the sketch that brackets a quantile
+
+
+def _interpolation(qs: dict[str, float], n: Column):
+    """(name, lower index, upper index, weight) of linear interpolation."""
     for name, q in qs.items():
-        at = (F.col("__n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(at), F.ceil(at)
-        holds = lambda i: (F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n_at"))
+        at = (n - 1) * F.lit(float(q))
+        yield name, F.floor(at), F.ceil(at), at - F.floor(at)
+
+
+def _pick(runs: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Quantiles from rows (value, n_before, n_at, __n)."""
+    holds = lambda i: (F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n_at"))
+    aggs = []
+    for name, lo, hi, w in _interpolation(qs, F.col("__n")):
         aggs += [F.max(F.when(holds(lo), F.col(value))).alias(f"__lo_{name}"),
                  F.max(F.when(holds(hi), F.col(value))).alias(f"__hi_{name}"),
-                 F.max(at - lo).alias(f"__w_{name}")]
-    picked = tagged.groupBy(*keys).agg(*aggs)
-    return picked.select(
-        *keys, *[(F.col(f"__lo_{n}") + F.col(f"__w_{n}") * (F.col(f"__hi_{n}")
-                                                            - F.col(f"__lo_{n}"))).alias(n)
-                 for n in qs])
+                 F.max(w).alias(f"__w_{name}")]
+    lo, hi, w = (lambda n: F.col(f"__lo_{n}")), (lambda n: F.col(f"__hi_{n}")), (
+        lambda n: F.col(f"__w_{n}"))
+    return runs.groupBy(*keys).agg(*aggs).select(
+        *keys, *[(lo(n) + w(n) * (hi(n) - lo(n))).alias(n) for n in qs])
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]
+                    ) -> DataFrame:
+    """Exact quantiles with linear interpolation, for groups of any size.
+
+    First pass: a mergeable sketch per group brackets every quantile; only the
+    sketches are shuffled.  Second pass: rows below the brackets are counted,
+    rows inside are kept as (value, count) - a small share of a big group - and
+    ranked by the distributed scan.  A bracket that misses its rank sends the
+    group to the full ranking, so the result is exact in any case.
+    """
+    if not keys:
+        one = exact_quantiles(df.select(value).withColumn("__all", F.lit(0)), ["__all"], value, qs)
+        return one.drop("__all")
+    df = df.select(*keys, value).where(F.col(value).isNotNull())
+    eps = 2.0 / BRACKET
+    probs = [min(max(q + d, 0.0), 1.0) for q in qs.values() for d in (-eps, eps)]
+    sk = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx(value, probs, BRACKET).alias("__b"))
+    # groups no larger than the sketch are kept whole: interpolation needs neighbours
+    sk = broadcast_if_small(materialize(sk))
+    inside = F.lit(False)
+    for i in range(len(qs)):
+        inside = inside | F.col(value).between(F.col("__b")[2 * i], F.col("__b")[2 * i + 1])
+    small = F.col("__n") <= BRACKET
+    j = df.join(sk, keys).withColumn("__in", inside | small)
+    # runs of values between brackets are replaced by their count at the next kept value
+    gaps = [F.count_if(~F.col("__in") & (F.col(value) < F.col("__b")[2 * i])).alias(f"__g{i}")
+            for i in range(len(qs))]
+    below = j.groupBy(*keys).agg(*gaps)
+    kept = j.where("__in").groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("n_at"), F.first("__n").alias("__n"), F.first("__b").alias("__b"))
+    run = scan(kept, keys, [value], {"__upto": ("sum", F.col("n_at"))})
+    run = run.join(broadcast_if_small(materialize(below)), keys)
+    # values left out below the highest bracket that starts at or below this value
+    skipped = F.lit(0).cast("bigint")
+    for i in range(len(qs)):
+        skipped = F.greatest(skipped, F.when(
+            F.col(value) >= F.col("__b")[2 * i], F.col(f"__g{i}")).otherwise(0))
+    ranked = run.withColumn("n_before", F.col("__upto") - F.col("n_at") + F.when(
+        F.col("__n") <= BRACKET, 0).otherwise(skipped))
+    out = materialize(_pick(ranked, keys, value, qs))
+    miss = F.lit(False)
+    for n in qs:
+        miss = miss | F.col(n).isNull()
+    bad = out.where(miss).select(*keys)
+    if bad.isEmpty():
+        return out
+    again = df.join(bad, keys, "left_semi")
+    full = value_ranks(again, keys, value).join(sk.select(*keys, "__n"), keys)
+    return out.where(~miss).unionByName(_pick(full, keys, value, qs))
