@@ -165,7 +165,7 @@ def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """
     c = df.groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n_at"))
-    run = scan(c, keys, [score], {"upto": ("sum", F.col("n_at"))})
+    run = scan(materialize(c), keys, [score], {"upto": ("sum", F.col("n_at"))})
     rank = F.col("upto") - F.col("n_at") + (F.col("n_at") + 1) / 2.0
     s = run.groupBy(*keys).agg(
         F.sum(F.col("pos") * rank).alias("rs"), F.sum("pos").alias("np"),
@@ -208,7 +208,7 @@ def auc_bootstrap(scores: DataFrame, key: str, label: str, draws: int, tag: str,
     j = scores.join(m, key)
     c = j.groupBy(*keys, "draw", "score").agg(
         F.sum(F.col("m") * F.col(label)).alias("pos"), F.sum("m").alias("n_at"))
-    run = scan(c, [*keys, "draw"], ["score"], {"upto": ("sum", F.col("n_at"))})
+    run = scan(materialize(c), [*keys, "draw"], ["score"], {"upto": ("sum", F.col("n_at"))})
     rank = F.col("upto") - F.col("n_at") + (F.col("n_at") + 1) / 2.0
     s = run.groupBy(*keys, "draw").agg(F.sum(F.col("pos") * rank).alias("rs"), F.sum("pos").alias("np"),
                                        F.sum(F.col("n_at") - F.col("pos")).alias("nn"))

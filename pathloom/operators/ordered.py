@@ -1,6 +1,7 @@
 """Order-dependent operators that hold for groups of any size.
 
-A plain window sorts one group in one task.  Here rows are range-partitioned on
+A plain window sorts one group in one task.  That is used for checked small
+inputs only; beyond, rows are range-partitioned on
 (keys, order, tiebreak), so a hot group spreads over many tasks; every partition
 scans its own part and takes a carry from the partitions before it.
 """
@@ -10,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.session import broadcast_if_small, materialize
+from pathloom.session import broadcast_if_small, is_small, materialize
+
+SMALL = 50_000  # rows (or rows per group) that one task may sort or hold
 
 _OPS = {"sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {
@@ -35,6 +38,11 @@ def scan(df: DataFrame, keys: list[str], order: list, running: dict[str, tuple[s
     order_cols = _sort_columns(order)
     for k in keys:
         df = df.where(F.col(k).isNotNull())
+    if is_small(df, SMALL):
+        w = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.select("*", *[_OPS[op](expr).over(w).alias(n)
+                                for n, (op, expr) in running.items()])
     for name, (_, expr) in running.items():
         df = df.withColumn(f"__x_{name}", expr)
     placed = materialize(
@@ -75,7 +83,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
     Equal values collapse in the partial aggregation, so a hot value costs nothing.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
+    counted = materialize(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at")))
     run = scan(counted, keys, [value], {"__upto": ("sum", F.col("n_at"))})
     return run.select(
         *keys, value, "n_at", (F.col("__upto") - F.col("n_at")).alias("n_before"),
@@ -110,7 +118,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
                     ) -> DataFrame:
     """Exact quantiles with linear interpolation, for groups of any size.
 
-    First pass: a mergeable sketch per group brackets every quantile; only the
+    Groups of up to ``SMALL`` rows take the plain percentile.  Beyond: a mergeable sketch per group brackets every quantile; only the
     sketches are shuffled.  Second pass: rows below the brackets are counted,
     rows inside are kept as (value, count) - a small share of a big group - and
     ranked by the distributed scan.  A bracket that misses its rank sends the
@@ -120,6 +128,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         one = exact_quantiles(df.select(value).withColumn("__all", F.lit(0)), ["__all"], value, qs)
         return one.drop("__all")
     df = df.select(*keys, value).where(F.col(value).isNotNull())
+    largest = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
+    if largest <= SMALL:
+        return df.groupBy(*keys).agg(*[F.percentile(value, float(q)).alias(n) for n, q in qs.items()])
     eps = 2.0 / BRACKET
     probs = [min(max(q + d, 0.0), 1.0) for q in qs.values() for d in (-eps, eps)]
     sk = df.groupBy(*keys).agg(
