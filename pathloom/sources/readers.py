@@ -54,7 +54,7 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 def _matrix_rows(spark: SparkSession, path: str) -> DataFrame:
     """(u, line) of every non-blank line; a matrix file is one small document."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
     return doc.select(F.posexplode(lines).alias("u", "line"))
 
