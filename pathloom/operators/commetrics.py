@@ -167,7 +167,7 @@ def communicability(weights: DataFrame, terms: int = 12, cut_every: int = 4) ->
                  .groupBy("u", F.col("v2").alias("v")).agg(F.sum(F.col("x") * F.col("y")).alias("x")))
         if k % cut_every == 0:
             power = materialize(power)
-        total = total.unionByName(power.select("u", "v", (F.col("x") / math.factorial(k)).alias("x")))
+        total = total.unionByName(power.select("u", "v", (F.col("x") / float(math.factorial(k))).alias("x")))
     return total.groupBy("u", "v").agg(F.sum("x").alias("x"))
 
 

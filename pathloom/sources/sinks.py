@@ -34,7 +34,8 @@ def stage(spark: SparkSession, path: str, build) -> DataFrame:
 
 def matrix_lines(df: DataFrame, row: str, col: str, value: str, columns: list) -> DataFrame:
     """One text line per matrix row: '%.6f' values in the stated column order, 'nan' for gaps."""
-    cell = F.coalesce(F.format_string("%.6f", F.first(value)), F.lit("nan"))
+    x = F.max(value)  # one value per cell
+    cell = F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.6f", x)).otherwise("nan")
     wide = df.groupBy(row).pivot(col, columns).agg(cell)
     parts = [F.coalesce(F.col(f"`{c}`"), F.lit("nan")) for c in columns]
     return wide.select(row, F.concat_ws(" ", *parts).alias("line"))
