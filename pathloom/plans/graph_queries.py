@@ -16,12 +16,9 @@ SAMPLE_K = 6  # ranks per cell in the sampling queries
 
 
 @query("edge_matrix", WITH_EDGE + """
-select u, v, n, w, lat, round(y, 6) y, round(tract, 6) tract, round(nav, 6) nav,
-       round(rout, 6) rout, round(search, 6) search, round(comm, 6) comm from edge""")
+select u, v, n, w, lat, y, tract, nav, rout, search, comm from edge""")
 def edge_matrix(spark, sf):
-    e = fx.with_metrics(fx.edge_totals(spark, sf))
-    return e.select("u", "v", "n", "w", "lat", *[
-        F.round(c, 6).alias(c) for c in ("y", "tract", "nav", "rout", "search", "comm")])
+    return fx.with_metrics(fx.edge_totals(spark, sf))
 
 
 @query("edge_density_mask", WITH_EDGE + """
