@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.columns import finite
-from pathloom.session import broadcast_if_small
+from pathloom.session import broadcast_if_small, side_table
 
 FEATURES = ("nav", "rout", "search", "comm")
 ROUTING = ("nav", "rout")  # fixed values: the other two are diffusion
@@ -43,7 +43,7 @@ def contributions(sub: DataFrame, scaling: DataFrame, coefs: DataFrame) -> DataF
     ``coefs`` has (length, coef_source, c_<feature>); both side tables hold one
     row per length.
     """
-    j = sub.join(F.broadcast(scaling), "length").join(F.broadcast(coefs), "length")
+    j = sub.join(side_table(scaling), "length").join(side_table(coefs), "length")
     c = {f: F.round(F.abs(F.col(f"c_{f}") * (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")), 9)
          for f in FEATURES}
     j = j.select("sample_id", "path_key", "path_len", "u", "v", "length", "coef_source",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.columns import hash_mod
 from pathloom.operators.metrics import r2_from_sums, sufficient_stats
 from pathloom.operators.ordered import exact_quantiles, row_position, scan, value_ranks
-from pathloom.session import broadcast_if_small, materialize
+from pathloom.session import broadcast_if_small, materialize, side_table
 
 BITS = 256  # signs served by one SHA-256
 
@@ -26,10 +26,11 @@ def unit_contributions(paired: DataFrame, unit: str) -> DataFrame:
     y = F.col("y_true")
     n = F.count(F.lit(1))
     sst = paired.groupBy("repeat").agg((F.sum(y * y) - F.sum(y) * F.sum(y) / n).alias("sst"))
+    sst = side_table(sst)
     n_rep = F.lit(sst.count())
     diff = paired.groupBy("repeat", unit).agg(F.sum(
         (y - F.col("pb")) * (y - F.col("pb")) - (y - F.col("pa")) * (y - F.col("pa"))).alias("e"))
-    return diff.join(F.broadcast(sst), "repeat").groupBy(unit).agg(  # one row per repeat
+    return diff.join(sst, "repeat").groupBy(unit).agg(
         (F.sum(F.col("e") / F.col("sst")) / n_rep).alias("d"))
 
 
@@ -191,7 +192,7 @@ def resample_counts(df: DataFrame, key: str, label: str, draws: int, tag: str) -
     placed = materialize(row_position(df.select(key, label), [label], [key]).withColumn(
         "idx", F.col("pos") - 1).drop("pos"))
     n = placed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    slots = placed.join(F.broadcast(n), label).withColumn(  # one row per class
+    slots = placed.join(side_table(n), label).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picks = slots.select("draw", label, hash_mod(
         F.col("n"), tag, F.col("draw"), F.col(label), F.col("idx")).alias("idx"))
@@ -239,7 +240,7 @@ def enrichment(real: DataFrame, pool: DataFrame, cell: str, circuit: str, draws:
     m = picks.groupBy(circuit, cell, "draw", "idx").agg(F.count(F.lit(1)).alias("m"))
     null = m.join(numbered, [circuit, cell, "idx"]).groupBy(circuit, "draw").agg(
         (F.sum(F.col("m") * F.col("n_edges")) / F.sum("m")).alias("null"))
-    j = null.join(F.broadcast(obs), circuit)  # one row per circuit
+    j = null.join(side_table(obs), circuit)
     return j.groupBy(circuit).agg(
         F.min("n_paths").alias("n_paths"), F.min("observed").alias("observed"),
         F.avg("null").alias("null_mean"),

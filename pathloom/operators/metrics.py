@@ -74,7 +74,7 @@ def repeats_positive(oof: DataFrame, a: str, b: str) -> DataFrame:
 def contrasts(block: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Differences of R2, RMSE and MAE between arms of a metric block (one row per arm)."""
     spark = block.sparkSession
-    p = F.broadcast(spark.createDataFrame(pairs, "a string, b string"))
+    p = spark.createDataFrame(pairs, "a string, b string")
     a = block.select(F.col("arm").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("r2", "rmse", "mae")])
     b = block.select(F.col("arm").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("r2", "rmse", "mae")])
     return p.join(a, "a").join(b, "b").select(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pathloom.functions.columns import finite
 from pathloom.operators.folds import grouped_folds
 from pathloom.operators.ordered import exact_quantiles
-from pathloom.session import broadcast_if_small, materialize
+from pathloom.session import materialize, side_table
 
 # fixed values: the hyper-parameter grid, 15 alphas x 8 mixing ratios
 ALPHAS = (1e-6, 3e-6, 1e-5, 3e-5, 1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0, 3.0, 10.0)
@@ -201,7 +201,7 @@ def fold_grams(df: DataFrame, assign: DataFrame, group: str, features: list[str]
     width = 2 * len(features) + 2
     iu = np.triu_indices(width)
     rows = df.select(group, F.array(*augmented(features, y)).alias("z")).join(
-        broadcast_if_small(materialize(lab)), group).select("z", "lab")
+        side_table(lab), group).select("z", "lab")
 
     def reduce(batches):
         acc: dict[tuple, np.ndarray] = {}
@@ -234,7 +234,7 @@ def fold_medians(df: DataFrame, assign: DataFrame, group: str, features: list[st
     held = F.array(F.lit(-1), *[F.lit(k) for k in range(5)]) if with_inner else F.array(F.lit(-1))
     a = assign.where("inner >= 0").withColumn("left_out", F.explode(held)).where("left_out <> inner")
     sets = a.groupBy(group).agg(F.collect_list(F.struct(*keys)).alias("sets"))  # few dozen entries
-    sets = broadcast_if_small(materialize(sets))
+    sets = side_table(sets)
     out = None
     for f in features:
         v = df.where(finite(F.col(f))).select(group, F.col(f).cast("double").alias("x")).join(sets, group)
@@ -315,7 +315,7 @@ def predict_oof(df: DataFrame, assign: DataFrame, fits: DataFrame, key: str, gro
                 features: list[str], y: str) -> DataFrame:
     """Out-of-fold predictions (key, repeat, outer_fold, y_true, y_pred)."""
     test = assign.where("inner = -1").select("repeat", "outer_fold", group)
-    coefs = broadcast_if_small(materialize(fits.select("repeat", "outer_fold", "coef", "fill")))
+    coefs = side_table(fits.select("repeat", "outer_fold", "coef", "fill"))
     x = F.array(*[F.when(finite(F.col(f)), F.col(f).cast("double")) for f in features])
     j = df.select(key, group, F.col(y).cast("double").alias("y_true"), x.alias("x")).join(
         test, group).join(coefs, ["repeat", "outer_fold"])
@@ -452,7 +452,7 @@ def predict_logistic(df: DataFrame, folds: DataFrame, fits: DataFrame, key: str,
                      features: list[str]) -> DataFrame:
     """Out-of-fold probabilities (key, repeat, fold, label, score)."""
     j = df.select(key, label, F.array(*[F.col(f).cast("double") for f in features]).alias("x")).join(
-        folds.select(key, "repeat", "fold"), key).join(F.broadcast(fits), ["repeat", "fold"])
+        folds.select(key, "repeat", "fold"), key).join(side_table(fits), ["repeat", "fold"])
     eta = F.element_at("coef", 1) + F.aggregate(
         F.zip_with("x", F.slice("coef", 2, len(features)), lambda a, b: a * b), F.lit(0.0),
         lambda s, v: s + v)

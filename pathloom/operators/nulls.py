@@ -13,6 +13,7 @@ from pathloom.functions.columns import arr_sum, hash_hex, hash_int
 from pathloom.operators.graph import path_edges
 from pathloom.session import broadcast_if_small, materialize
 
+POOL_LIMIT = 16_384  # paths one cell may bring to the greedy match
 ORDER_TRIES = 20  # fixed value: reorderings tried before a path keeps its order
 
 
@@ -121,12 +122,14 @@ def match_greedy(target: DataFrame, pool: DataFrame, cell: list[str], value: str
     """One-to-one nearest match without replacement, targets in ascending order.
 
     Sequential inside a cell, parallel over cells.  Targets and pools are rank
-    samples, so a cell holds a few thousand rows at most.
+    samples; a cell beyond ``POOL_LIMIT`` rows is an error, not a silent cut.
     """
     schema = target.select(*cell).schema.add("target_key", "string").add("pool_key", "string") \
         .add("gap", "double")
 
     def go(key, t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if max(len(t), len(p)) > POOL_LIMIT:
+            raise ValueError("matching works on rank samples")
         t = t.sort_values([value, "path_key"], kind="stable")
         p = p.sort_values("path_key", kind="stable")
         free = p[value].to_numpy(dtype=float).copy()

@@ -128,16 +128,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, fl
         one = exact_quantiles(df.select(value).withColumn("__all", F.lit(0)), ["__all"], value, qs)
         return one.drop("__all")
     df = df.select(*keys, value).where(F.col(value).isNotNull())
-    largest = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()["m"] or 0
-    if largest <= SMALL:
-        return df.groupBy(*keys).agg(*[F.percentile(value, float(q)).alias(n) for n, q in qs.items()])
     eps = 2.0 / BRACKET
     probs = [min(max(q + d, 0.0), 1.0) for q in qs.values() for d in (-eps, eps)]
     sk = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
         F.percentile_approx(value, probs, BRACKET).alias("__b"))
     # groups no larger than the sketch are kept whole: interpolation needs neighbours
-    sk = broadcast_if_small(materialize(sk))
+    sk = materialize(sk)
+    if (sk.agg(F.max("__n").alias("m")).first()["m"] or 0) <= SMALL:
+        return df.groupBy(*keys).agg(*[F.percentile(value, float(q)).alias(n) for n, q in qs.items()])
+    sk = broadcast_if_small(sk)
     inside = F.lit(False)
     for i in range(len(qs)):
         inside = inside | F.col(value).between(F.col("__b")[2 * i], F.col("__b")[2 * i + 1])

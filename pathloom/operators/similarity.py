@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.columns import anomaly_index, clip, cosine, hash_hex
 from pathloom.operators.ordered import value_ranks
-from pathloom.session import is_small, materialize
+from pathloom.session import broadcast_if_small, is_small, materialize
 
 ALPHA = 0.242  # fixed value: displacement share for every target
 NORMAL_INDEX = 0.2  # fixed value: below it a path counts as normal
@@ -310,7 +310,7 @@ def random_label_test(targets: DataFrame, key: str, cls: str, value: str, draws:
     spots = targets.select(F.row_number().over(Window.orderBy(key)).alias("i"), F.col(cls).alias("c"))
     base = targets.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     w = Window.partitionBy("draw").orderBy(hash_hex(tag, F.col("draw"), F.col(key)), key)
-    dealt = base.withColumn("i", F.row_number().over(w)).join(F.broadcast(spots), "i")
+    dealt = base.withColumn("i", F.row_number().over(w)).join(broadcast_if_small(spots), "i")
     x = F.col(value)
     g = dealt.groupBy("draw", "c").agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     n, k = F.sum("n"), F.count(F.lit(1))

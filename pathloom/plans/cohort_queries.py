@@ -640,12 +640,17 @@ def participation(spark, sf):
 
 
 @query("network_axis", """
-select n_nationkey node, n_regionkey network, row_number() over (order by
-  coalesce(nullif(list_position([3, 1, 0], n_regionkey), 0), 4), n_name)::bigint axis from nation""")
+with c as (select c_nationkey, count(*)::bigint n_customers from customer group by 1)
+select n_nationkey node, n_regionkey network, n_customers, row_number() over (order by
+  coalesce(nullif(list_position([3, 1, 0], n_regionkey), 0), 4), n_name)::bigint axis
+from nation join c on c_nationkey = n_nationkey""")
 def network_axis(spark, sf):
+    c = fx.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("node")).agg(
+        F.count(F.lit(1)).alias("n_customers"))
     n = fx.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("network"), "n_name")
-    return At.ordered_axis(n, [3, 1, 0], "network", "n_name").select("node", "network", "axis")
+    return At.ordered_axis(n.join(c, "node"), [3, 1, 0], "network", "n_name").select(
+        "node", "network", "n_customers", "axis")
 
 
 @query("cohort_comparison", CON_SQL + """,

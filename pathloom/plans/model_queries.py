@@ -24,11 +24,11 @@ def order_features(spark, sf):
     li = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.sum("l_quantity").alias("y"), F.count(F.lit(1)).alias("n_lines"),
         F.avg("l_discount").alias("discount"), F.max("l_shipdate").alias("last"))
-    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         F.col("o_orderkey").alias("sample_id"), F.col("o_custkey").alias("grp"), "y",
-        F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice") / 1000.0).alias("price"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 1000.0).alias("price"),
         F.col("n_lines").cast("double").alias("n_lines"), (F.col("discount") * 100).alias("discount"),
         F.datediff("last", "o_orderdate").cast("double").alias("late"))
 
@@ -82,7 +82,7 @@ st as (
   from (select s.repeat, s.i, o.grp, o.size, s.loads, list_position(s.loads, list_min(s.loads)) p
         from st s join o on o.repeat = s.repeat and o.i = s.i + 1)),
 x as (select o_custkey grp, o_totalprice / 1000.0 price from orders
-      where o_orderkey % 10 <> 0 and o_orderkey in (select l_orderkey from lineitem))
+      where o_orderstatus <> 'P' and o_orderkey in (select l_orderkey from lineitem))
 select f::int outer_fold, count(*)::bigint n, round(quantile_cont(price, 0.5), 6) median_price
 from x join st using (grp), range(5) t(f) where fold <> f group by f""")
 def train_medians(spark, sf):

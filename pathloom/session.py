@@ -69,3 +69,9 @@ def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast hint behind a row count; beyond the limit the join shuffles."""
     return F.broadcast(df) if is_small(df, limit) else df
+
+
+def side_table(df: DataFrame) -> DataFrame:
+    """A derived table expected to be short (one row per class, repeat, fold or length):
+    written once, counted, and broadcast only if it is short indeed."""
+    return broadcast_if_small(materialize(df))
