@@ -254,3 +254,12 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     """Every row with the average rank of its value within the group."""
     r = value_ranks(df, keys, value).select(*keys, value, F.col("avg_rank").alias(name))
     return df.join(r, [*keys, value])
+
+
+def mean_difference_bootstrap(df: DataFrame, key: str, label: str, value: str, draws: int, tag: str
+                              ) -> DataFrame:
+    """(draw, delta): mean of class 1 minus mean of class 0 over stratified resamples."""
+    m = resample_counts(df, key, label, draws, tag).join(df.select(key, label, value), key)
+    w = lambda c: F.when(F.col(label) == c, F.col("m"))
+    mean = lambda c: F.sum(w(c) * F.col(value)) / F.sum(w(c))
+    return m.groupBy("draw").agg((mean(1) - mean(0)).alias("delta"))

@@ -113,3 +113,17 @@ def completion_checks(oof: DataFrame, n_folds: int, n_repeats: int) -> DataFrame
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("sample_id").alias("n_samples"),
     ).withColumn("complete", (F.col("n_folds") == n_folds * n_repeats) & (F.col("n_missing") == 0)
                  & (F.col("n_rows") == F.col("n_samples") * n_repeats))
+
+
+def equality_audit(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Key-merge of two versions of a table: rows on one side only, and per column the
+    rows that differ (NULLs compare as equal)."""
+    l = a.select(*keys, F.lit(1).alias("__a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    r = b.select(*keys, F.lit(1).alias("__b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    j = l.join(r, keys, "full")
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    return j.agg(
+        F.count_if(both).alias("n_both"), F.count_if(F.col("__b").isNull()).alias("n_left_only"),
+        F.count_if(F.col("__a").isNull()).alias("n_right_only"),
+        *[F.count_if(both & ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).alias(f"n_diff_{c}")
+          for c in cols])

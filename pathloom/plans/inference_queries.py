@@ -524,3 +524,45 @@ def average_ranks(spark, sf):
     o = fx.table(spark, sf, "orders").select(F.col("o_orderstatus").alias("st"),
                                              F.col("o_totalprice").alias("price"))
     return value_ranks(o, ["st"], "price").select("st", "price", "n_at", "avg_rank")
+
+
+@query("fold_size_summary", FOLD_SQL + """,
+s as (select repeat, fold, sum(size)::double n from st join g using (grp) group by all)
+select repeat, count(*)::bigint n_folds, min(n) min_n, quantile_cont(n, 0.25) q25,
+  quantile_cont(n, 0.5) q50, quantile_cont(n, 0.75) q75, max(n) max_n from s group by repeat""")
+def fold_size_summary(spark, sf):
+    s = fold_sizes(spark, sf).select("repeat", F.col("n_rows").cast("double").alias("n"))
+    return s.groupBy("repeat").agg(  # a handful of folds per repeat
+        F.count(F.lit(1)).alias("n_folds"), F.min("n").alias("min_n"),
+        *[F.percentile("n", q).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)],
+        F.max("n").alias("max_n"))
+
+
+@query("deterministic_shuffle", """
+select o_orderkey, row_number() over (order by sha256('shuffle|' || o_orderkey), o_orderkey)::bigint pos
+from orders""")
+def deterministic_shuffle(spark, sf):
+    from pathloom.functions.columns import hash_hex
+    from pathloom.operators.ordered import row_position
+
+    o = fx.table(spark, sf, "orders").select("o_orderkey").withColumn(
+        "h", hash_hex("shuffle", F.col("o_orderkey")))
+    return row_position(o, [], ["h", "o_orderkey"]).select("o_orderkey", "pos")
+
+
+@query("mean_difference_bootstrap", """
+with v as (select event_id, (event_type = 'click')::int y, round(value * 100) x from events
+           where event_type in ('click', 'view')),
+ix as (select *, row_number() over (partition by y order by event_id) - 1 idx,
+         count(*) over (partition by y) n from v),
+pk as (select draw, y, (('0x' || substr(sha256('md|' || draw || '|' || y || '|' || idx), 1, 13))::bigint
+        % n) idx from ix, range(30) t(draw))
+select draw, round(sum(x) filter (y = 1) / count(*) filter (y = 1)
+  - sum(x) filter (y = 0) / count(*) filter (y = 0), 6) delta
+from pk join ix using (y, idx) group by draw""")
+def mean_difference_bootstrap(spark, sf):
+    ev = fx.table(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select(
+        "event_id", (F.col("event_type") == "click").cast("int").alias("y"),
+        F.round(F.col("value") * 100).alias("x"))
+    return I.mean_difference_bootstrap(ev, "event_id", "y", "x", 30, "md").withColumn(
+        "delta", F.round("delta", 6))

@@ -331,3 +331,23 @@ def signal_parcel_mean(spark, sf):
         F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("bigint").alias("day"), F.round(F.col("value") * 100).alias("value"),
         F.when(F.col("event_type") == "error", "bad").otherwise("GOOD").alias("status"))
     return Sg.parcel_signal(ev, a.withColumnRenamed("v", "electrode"), ["trial", "day"])
+
+
+AFFINE = [[1.0, 0.0, 0.0, 2.0], [0.0, -1.0, 0.0, 0.5], [0.0, 0.0, 2.0, 0.0]]
+INVERSE = [[1.0, 0.0, 0.0, -2.0], [0.0, -1.0, 0.0, 0.5], [0.0, 0.0, 0.5, 0.0]]
+
+
+@query("affine_points", """
+select vec_id v, round(embedding[1]::double + 2, 9) ax, round(0.5 - embedding[2]::double, 9) ay,
+  round(2 * embedding[3]::double, 9) az, true restored from embeddings""")
+def affine_points(spark, sf):
+    from pathloom.functions.columns import affine
+
+    x, y, z = (F.col(a) for a in "xyz")
+    moved = affine(AFFINE, x, y, z)
+    back = affine(INVERSE, *moved)
+    same = F.lit(True)
+    for a, b in zip((x, y, z), back):
+        same = same & (F.abs(a - b) < 1e-9)
+    return points(spark, sf).select("v", *[F.round(c, 9).alias(n) for c, n in
+                                           zip(moved, ("ax", "ay", "az"))], same.alias("restored"))

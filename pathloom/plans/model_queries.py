@@ -159,3 +159,60 @@ def per_length_models(spark, sf):
     return f.select("length", "n", "alpha", "l1_ratio", F.round("oof_r2", 6).alias("oof_r2"),
                     F.transform("coef", lambda c: F.round(c, 6)).alias("coef"),
                     F.transform("median_coef", lambda c: F.round(c, 6)).alias("median_coef"))
+
+
+# ---- end to end: cells of the path graph, endpoint block against path features and controls -------
+
+
+def cell_arms(spark, sf):
+    """(cells with outcome and every feature block, columns of every arm)."""
+    from pathloom.operators import diversity as D
+    from pathloom.operators import features as V
+    from pathloom.operators import graph as G
+    from pathloom.operators import nulls as N
+    from pathloom.plans.feature_queries import CELL, _with_order, sampled
+
+    e, d, p = sampled(spark, sf)
+    p = materialize(p)
+    edge = _with_order(p).select(*CELL, *[N.permute(m, "ord").alias(m) for m in fx.METRICS])
+    order = N.order_shuffle(p.select("nodes", "path_key"), e.where("mask"), "path_key", "ord")
+    order = G.gather(p.select(*CELL, "path_key").join(
+        order.select("path_key", F.col("shuffled").alias("nodes")), "path_key"), e,
+        [*CELL, "path_key"], list(fx.METRICS))
+    chosen = D.diverse_paths(p, CELL, keep=4)
+    picked = G.gather(chosen, e, CELL, list(fx.METRICS))
+    arms = {"C8R": p, "C8R_selected": picked, "control_order": order, "control_edge": edge}
+    c4 = V.endpoint_block(p.select(*CELL).distinct(), e, fx.MAX_LEN)
+    out = e.select(F.col("u").alias("seed"), F.col("v").alias("endpoint"), "y").join(
+        c4, ["seed", "endpoint"])
+    base = [c for c in c4.columns if c not in CELL]
+    cols = {"C4": base}
+    for name, paths in arms.items():
+        block = V.legendre_features(paths, CELL, fx.MAX_LEN)
+        names = [c for c in block.columns if c not in CELL]
+        out = out.join(block.select(*CELL, *[F.col(c).alias(f"{name}_{c}") for c in names]), CELL, "left")
+        cols[name] = base + [f"{name}_{c}" for c in names]
+    return materialize(out.withColumn("sample_id", F.concat_ws("|", *CELL))), cols
+
+
+@query("control_sweep")
+def control_sweep(spark, sf):
+    """R2 of the endpoint arm, the path arms and the controls, and whether a control
+    replicates the real arm's gain."""
+    df, cols = cell_arms(spark, sf)
+    sizes = materialize(df.groupBy("seed").agg(F.count(F.lit(1)).alias("size")))
+    outer = Fo.grouped_folds(sizes, "seed", 2, 5, "cells")
+    assign = materialize(Mo.hashed_inner_folds(outer, "seed", 5, 5, "cells-inner"))
+    oof = None
+    for arm, names in cols.items():
+        fits = Mo.elastic_net_cv(df, assign, "seed", names, "y", alphas=(1e-2, 0.1),
+                                 l1_ratios=(0.5, 1.0))
+        part = Mo.predict_oof(df, assign, fits, "sample_id", "seed", names, "y").withColumn(
+            "arm", F.lit(arm))
+        oof = part if oof is None else oof.unionByName(part)
+    r = materialize(Me.repeat_r2(materialize(oof), ["arm"]))
+    base = {x["arm"]: x["r2"] for x in r.collect()}  # one row per arm
+    gain = F.col("r2") - F.lit(base["C4"])
+    real = base["C8R"] - base["C4"]
+    return r.select("arm", F.round("r2", 6).alias("r2"), F.round(gain, 6).alias("gain"),
+                    (F.col("arm").startswith("control") & (gain >= F.lit(real))).alias("replicates_real"))

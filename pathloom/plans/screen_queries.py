@@ -304,3 +304,21 @@ def density_mask_zeroing(spark, sf):
     e = fx.edges(spark, sf)
     return e.select("u", "v", *[F.when(F.col("mask"), F.col(m)).otherwise(0.0).alias(m)
                                 for m in ("nav", "comm")])
+
+
+@query("support_equality_audit", ATTR_SQL + """,
+b0 as (select sample_id, L, count(*)::bigint n from path group by all),
+b as (select sample_id, n, case when L = 1 then n >= 1 else n >= 5 end s from b0)
+select count(*)::bigint n_both, 0::bigint n_left_only, 0::bigint n_right_only,
+  count(*) filter (n_accepted <> n)::bigint n_diff_n_accepted,
+  count(*) filter (in_support <> s)::bigint n_diff_in_support
+from att2 join b using (sample_id)""")
+def support_equality_audit(spark, sf):
+    # support with the variance screen against support of the unscreened search
+    from pathloom.operators.validation import equality_audit
+
+    p, _ = screened_s10(spark, sf)
+    p = materialize(p)
+    screened = S.attrition(p, ["sample_id", "L"])
+    plain = S.attrition(p.withColumn("reject_reason", F.lit(None).cast("string")), ["sample_id", "L"])
+    return equality_audit(screened, plain, ["sample_id"], ["n_accepted", "in_support"])

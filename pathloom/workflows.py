@@ -18,7 +18,7 @@ WORKFLOWS: dict[str, list[str]] = {
     "main_prediction": ["path_support_by_length", "retention_tables", "design_matrix", "fold_manifest",
                         "elasticnet_cv", "metric_block", "cluster_bootstrap", "holm", "bh"],
     "sensitivity": ["density_sweep", "bin_width_sensitivity", "pathset_jaccard", "relaxed_ladder"],
-    "controls": ["order_shuffle", "edge_shuffle", "latency_null_search", "sc_rewire", "matched_random",
+    "controls": ["control_sweep", "order_shuffle", "edge_shuffle", "latency_null_search", "sc_rewire", "matched_random",
                  "matched_random_walks", "legendre_edge_shuffled"],
     "domain_classification": ["mode_shares", "confounder_block", "coverage", "logistic_cv", "lodo_split",
                               "stratified_match", "smd_table", "auc_delta_paired", "feature_importance",
