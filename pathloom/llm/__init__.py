@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "fingerprint", "exact_dedup", "url_filter", "packing"]
+MODULES = ["ngram_join", "fingerprint", "quality", "token_counts", "bpe", "exact_dedup", "url_filter", "packing"]
 
 
 def load_all():
