@@ -2,12 +2,15 @@
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "fingerprint", "quality", "token_counts", "bpe", "exact_dedup", "url_filter", "packing"]
+MODULES = ["ngram_join", "html_text", "fingerprint", "quality", "token_counts", "bpe", "language_id",
+           "exact_dedup", "url_filter", "packing"]
 
 
 def load_all():
     """(queries, oracles) by name, the pipeline included."""
-    queries, oracles = {}, {}
+    from corpus_pipeline import ORACLE_SQL, run
+
+    queries, oracles = {"pipeline": run}, {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
     for m in MODULES:
         mod = import_module(f"pathloom.llm.{m}")
         queries.update(mod.QUERIES)

@@ -6,9 +6,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pathloom.llm.common import HOLD_OUT, held_out, table, texts
 
@@ -189,17 +190,18 @@ def predict(texts_: list[str], net: ByteNetwork, score) -> tuple[list[str], list
     return [o[0] for o in out], [o[1] for o in out]
 
 
-def identified(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """(doc_id, text, held_out, lang_pred, score) of every row of ``docs``."""
+def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
+    """``docs`` with lang_pred and score; any other columns stay as they are."""
     def run(batches):
         score = net.scorer() if net else None
-        for pdf in batches:
-            if net:
-                lang, p = predict(pdf["text"].tolist(), net, score)
-            else:
-                lang, p = UNDETERMINED, 0.0
-            yield pdf.assign(lang_pred=lang, score=p)
-    return held_out(texts(docs).mapInPandas(run, "doc_id long, text string, lang_pred string, score double"))
+        for batch in batches:
+            texts_ = [t or "" for t in batch.column("text").to_pylist()]
+            lang, p = predict(texts_, net, score) if net else ([UNDETERMINED] * len(texts_), [0.0] * len(texts_))
+            yield batch.append_column("lang_pred", pa.array(lang, pa.string())).append_column(
+                "score", pa.array(p, pa.float64()))
+    rest = docs.drop("lang_pred", "score")
+    return rest.mapInArrow(run, StructType(rest.schema.fields + [
+        StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -211,7 +213,8 @@ def identify(docs: DataFrame) -> DataFrame:
     score 0.  Repeated rows are judged each, a missing doc_id is not held out, an empty table
     gives no rows, other columns go.
     """
-    return identified(docs, train(docs)).select("doc_id", "held_out", "lang_pred", "score")
+    return held_out(with_language(docs.select("doc_id", "text"), train(docs))).select(
+        "doc_id", "held_out", "lang_pred", "score")
 
 
 def op7_language_id(spark, sf_dir):

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pathloom.llm.common import HOLD_OUT, held_out, table, texts
 
@@ -126,13 +127,14 @@ def train(docs: DataFrame, labels: DataFrame) -> SizeModel:
     return model
 
 
-def scored(docs: DataFrame, model: SizeModel) -> DataFrame:
-    """``docs`` (doc_id, text) with held_out, score and predicted; the text stays."""
+def with_scores(docs: DataFrame, model: SizeModel) -> DataFrame:
+    """``docs`` with a column score; any other columns stay as they are."""
     def run(batches):
-        for pdf in batches:
-            yield pdf.assign(score=model.score(pdf["text"].tolist()))
-    out = texts(docs).mapInPandas(run, "doc_id long, text string, score double")
-    return held_out(out).withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
+        for batch in batches:
+            texts_ = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch.append_column("score", pa.array(model.score(texts_), pa.float64()))
+    rest = docs.drop("score")
+    return rest.mapInArrow(run, StructType(rest.schema.fields + [StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,7 +146,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts score the share of label 1 (0.5 without labels).  Repeated rows are scored each,
     a missing doc_id is not held out, an empty table gives no rows, other columns go.
     """
-    return scored(docs, train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
+    out = held_out(with_scores(docs.select("doc_id", "text"), train(docs, labels)))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def op4_quality(spark, sf_dir):
