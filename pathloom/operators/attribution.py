@@ -44,7 +44,7 @@ def contributions(sub: DataFrame, scaling: DataFrame, coefs: DataFrame) -> DataF
     row per length.
     """
     j = sub.join(side_table(scaling), "length").join(side_table(coefs), "length")
-    c = {f: F.round(F.abs(F.col(f"c_{f}") * (F.col(f) - F.col(f"m_{f}")) / F.col(f"s_{f}")), 9)
+    c = {f: F.round(F.abs(F.try_divide(F.col(f"c_{f}") * (F.col(f) - F.col(f"m_{f}")), F.col(f"s_{f}"))), 9)
          for f in FEATURES}
     j = j.select("sample_id", "path_key", "path_len", "u", "v", "length", "coef_source",
                  *[F.coalesce(e, F.lit(0.0)).alias(f"contrib_{f}") for f, e in c.items()])
@@ -69,10 +69,10 @@ def mode_by_length(contrib: DataFrame) -> DataFrame:
     return contrib.groupBy("length", "coef_source").agg(
         F.count(F.lit(1)).alias("n_samples"), F.count_distinct("u", "v").alias("n_unique_pairs"),
         F.count_if(~valid).alias("n_all_zero"),
-        (F.count_if(F.col("dominant_type") == "routing") / n).alias("routing_ratio"),
-        (F.count_if(F.col("dominant_type") == "diffusion") / n).alias("diffusion_ratio"),
-        *[(F.count_if(F.col("dominant_feature") == f) / n).alias(f"{f}_ratio") for f in FEATURES],
-        (routing / total).alias("routing_share"))
+        F.try_divide(F.count_if(F.col("dominant_type") == "routing"), n).alias("routing_ratio"),
+        F.try_divide(F.count_if(F.col("dominant_type") == "diffusion"), n).alias("diffusion_ratio"),
+        *[F.try_divide(F.count_if(F.col("dominant_feature") == f), n).alias(f"{f}_ratio") for f in FEATURES],
+        F.try_divide(routing, total).alias("routing_share"))
 
 
 def path_classes(contrib: DataFrame) -> DataFrame:

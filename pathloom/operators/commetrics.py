@@ -77,8 +77,17 @@ def shortest_paths(lengths: DataFrame, transform: str | None = None, max_rounds:
     return cur
 
 
+def full_matrix(values: DataFrame, nodes: DataFrame, missing: float, diagonal: float | None
+                ) -> DataFrame:
+    """(u, v, x) for every pair of ``nodes`` (node): the whole matrix is the result here."""
+    every = nodes.select(F.col("node").alias("u")).distinct()
+    grid = every.crossJoin(every.withColumnRenamed("u", "v"))
+    x = F.when(F.col("u") == F.col("v"), F.lit(diagonal)).otherwise(F.coalesce("x", F.lit(missing)))
+    return grid.join(values.select("u", "v", "x"), ["u", "v"], "left").select("u", "v", x.cast("double").alias("x"))
+
+
 def routing_efficiency(lengths: DataFrame) -> DataFrame:
-    """1 / shortest distance; unconnected pairs have no row (efficiency 0)."""
+    """1 / shortest distance of connected pairs; ``full_matrix`` adds the zeros."""
     return shortest_paths(lengths).select("u", "v", (1.0 / F.col("dist")).alias("x"))
 
 
@@ -88,7 +97,8 @@ def transition_matrix(weights: DataFrame) -> DataFrame:
 
 
 def search_information(weights: DataFrame, symmetric: bool = False) -> DataFrame:
-    """-log2 of the probability to follow the shortest path (log-transformed weights).
+    """-log2 of the probability to follow the shortest path (log-transformed weights) of
+    connected pairs; ``full_matrix`` adds infinity for the others (0 for symmetric input).
 
     Symmetric input measures the path of (u < v) in both directions.
     """
@@ -114,7 +124,7 @@ def navigation_efficiency(lengths: DataFrame, distances: DataFrame, max_hops: in
     """Greedy walks to the neighbour nearest the target, as 1 / walked length.
 
     A walk fails when it turns straight back or exceeds ``max_hops``; failed walks
-    have no row (efficiency 0).  The next hop depends on (node, target) only, so
+    have no row here, ``full_matrix`` adds their zeros.  The next hop depends on (node, target) only, so
     it is tabled once; all walks then advance together, one join per hop.
     """
     nb = lengths.where("x <> 0").select("u", F.col("v").alias("n"), F.col("x").alias("len"))
@@ -153,7 +163,7 @@ def normalised_strength(weights: DataFrame) -> DataFrame:
                     .alias("x")))
 
 
-def communicability(weights: DataFrame, terms: int = 12, cut_every: int = 4) -> DataFrame:
+def communicability(weights: DataFrame, terms: int = 20, cut_every: int = 4) -> DataFrame:
     """exp of the strength-normalised matrix as a Taylor sum of sparse products."""
     w = materialize(normalised_strength(weights))
     nodes = w.select("u").union(w.select("v")).distinct()

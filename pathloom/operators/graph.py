@@ -66,6 +66,8 @@ def count_paths(dag: DataFrame, max_len: int, cut_every: int = 4) -> DataFrame:
                    .agg(F.sum("cnt").alias("cnt")))
         if L % cut_every == 0:
             cur = materialize(cur)
+            if cur.isEmpty():
+                break
         rows = cur.select("seed", F.col("at").alias("endpoint"), F.lit(L).alias("L"), "cnt")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -82,6 +84,8 @@ def remaining_counts(dag: DataFrame, max_len: int, cut_every: int = 4) -> DataFr
                .agg(F.sum("cnt").alias("cnt")))
         if rem % cut_every == 0:
             cur = materialize(cur)
+            if cur.isEmpty():
+                break
         out = out.unionByName(cur.select(
             "seed", "endpoint", F.col("at").alias("u"), F.lit(rem).alias("rem"), "cnt"))
     return out
@@ -120,6 +124,7 @@ def unrank(ranks: DataFrame, ranges: DataFrame, max_len: int, cut_every: int = 4
     nodes, see :func:`check_ranks`.
     """
     steps = broadcast_if_small(ranges)
+    max_len = min(max_len, ranges.agg(F.max("rem")).first()[0] or 0)
     cur = ranks.select(*CELL, "rank", F.col("rank").alias("r"), F.col("L").alias("rem"),
                        F.col("seed").alias("u"),
                        F.array(F.col("seed").cast("int")).alias("nodes"))
@@ -197,7 +202,7 @@ def random_walks(dag: DataFrame, max_len: int, k: int, tag: str, tries: int = 4)
         *CELL, F.explode(F.sequence(F.lit(0), F.lit(tries * k - 1))).alias("walk"),
         F.col("L").alias("rem"), F.col("seed").alias("u"),
         F.array(F.col("seed").cast("int")).alias("nodes"))
-    for i in range(max_len):
+    for i in range(min(max_len, kids.agg(F.max("rem")).first()[0] or 0)):
         hit = F.col("m").isNotNull()
         cur = cur.withColumn("h", hash_int(tag, sid, F.col("walk"), F.col("rem")))
         cur = _with_child(cur, steps, F.col("i") == F.pmod(F.col("h"), F.col("m")))
@@ -251,6 +256,8 @@ def enumerate_paths(dag: DataFrame, max_len: int, cut_every: int = 3) -> DataFra
             *[F.array_append(a, F.col(f"x_{a}")).alias(a) for a in attrs])
         if L % cut_every == 0 and L < max_len:
             cur = materialize(cur)
+            if cur.isEmpty():
+                break
         out = out.unionByName(cur)
     return out.withColumn("sample_id", F.concat_ws("|", *CELL)).withColumn(
         "path_key", F.array_join("nodes", "|"))
@@ -267,6 +274,8 @@ def simple_paths(edges: DataFrame, start: DataFrame, max_len: int) -> DataFrame:
                        F.col("v").alias("at")))
         if L % 3 == 0 and L < max_len:
             cur = materialize(cur)
+            if cur.isEmpty():
+                break
         rows = cur.select("seed", F.col("at").alias("endpoint"), F.lit(L).alias("L"), "nodes")
         out = rows if out is None else out.unionByName(rows)
     return out

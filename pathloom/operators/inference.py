@@ -225,21 +225,24 @@ def enrichment(real: DataFrame, pool: DataFrame, cell: str, circuit: str, draws:
     """Mean circuit edges per path against null sets drawn from each cell's pool.
 
     ``real`` and ``pool`` have (cell, circuit, path_key, n_edges), zero counts
-    included.  Every real path of a cell draws one pool path per null set.
-    Cells without a pool are left out on both sides.
+    included.  In every null set each real path of a cell picks one pool path; all circuits
+    are measured on the same picks.  Cells without a pool are left out on both sides.
     """
-    numbered = materialize(row_position(pool, [cell, circuit], ["path_key"]).withColumn(
-        "idx", F.col("pos") - 1).select(cell, circuit, "idx", "n_edges"))
-    size = numbered.groupBy(cell, circuit).agg(F.count(F.lit(1)).alias("psz"))
-    usable = real.join(size, [cell, circuit])
+    paths = pool.groupBy(cell, "path_key").agg(F.array_sort(F.collect_list(F.struct(
+        F.col(circuit).alias("c"), F.col("n_edges").alias("n")))).alias("counts"))  # a path's circuits
+    numbered = row_position(paths, [cell], ["path_key"])
+    table = numbered.groupBy(cell).agg(F.array_sort(F.collect_list(F.struct("pos", "counts"))).alias("table"))  # a sample
+    usable = materialize(real.join(table.select(cell), cell, "left_semi"))
     obs = usable.groupBy(circuit).agg(F.avg("n_edges").alias("observed"),
                                       F.count(F.lit(1)).alias("n_paths"))
-    picks = usable.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
-        circuit, cell, "draw", hash_mod(
-            F.col("psz"), tag, F.col("draw"), F.col(circuit), F.col("path_key")).alias("idx"))
-    m = picks.groupBy(circuit, cell, "draw", "idx").agg(F.count(F.lit(1)).alias("m"))
-    null = m.join(numbered, [circuit, cell, "idx"]).groupBy(circuit, "draw").agg(
-        (F.sum(F.col("m") * F.col("n_edges")) / F.sum("m")).alias("null"))
+    mine = usable.select(cell, "path_key").distinct().join(table, cell)
+    pick = lambda d: F.element_at("table", (hash_mod(
+        F.size("table"), tag, d, F.col("path_key")) + 1).cast("int"))["counts"]
+    tasks = int(real.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much work each
+    drawn = mine.repartition(tasks, cell, "path_key").select(F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.lit(draws - 1)), pick)).alias("draw", "counts"))
+    null = drawn.select("draw", F.explode("counts").alias("e")).groupBy(
+        F.col("e.c").alias(circuit), "draw").agg(F.avg("e.n").alias("null"))
     j = null.join(side_table(obs), circuit)
     return j.groupBy(circuit).agg(
         F.min("n_paths").alias("n_paths"), F.min("observed").alias("observed"),

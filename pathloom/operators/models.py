@@ -23,8 +23,8 @@ from pathloom.operators.folds import grouped_folds
 from pathloom.operators.ordered import exact_quantiles
 from pathloom.session import materialize, side_table
 
-# fixed values: the hyper-parameter grid, 15 alphas x 8 mixing ratios
-ALPHAS = (1e-6, 3e-6, 1e-5, 3e-5, 1e-4, 3e-4, 1e-3, 3e-3, 1e-2, 3e-2, 0.1, 0.3, 1.0, 3.0, 10.0)
+# fixed values: the hyper-parameter grid, 15 alphas (two a decade) x 8 mixing ratios
+ALPHAS = tuple(10.0 ** (-6 + k / 2) for k in range(15))
 L1_RATIOS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)
 DEFAULT_FIT = (0.01, 0.5)  # fixed value: used when a training set has one group only
 TOLERANCE, MAX_SWEEPS = 1e-8, 200_000
@@ -113,25 +113,46 @@ class Scaled:
         return out
 
 
-def elastic_net(s: Scaled, alpha: float, l1: float, start: np.ndarray | None = None) -> np.ndarray:
-    """Cyclic coordinate descent on 1/(2n)|y - Xb|^2 + alpha l1 |b|_1 + alpha (1 - l1)/2 |b|^2."""
-    p = len(s.c)
-    b = np.zeros(p) if start is None else start.copy()
-    grad = s.c - s.g @ b
-    ridge, lasso = alpha * (1.0 - l1), alpha * l1
+def elastic_nets(sets: list[Scaled], points: list[tuple[int, float, float]]
+                 ) -> tuple[list[np.ndarray], int]:
+    """Minima of 1/(2n)|y - Xb|^2 + alpha l1 |b|_1 + alpha (1 - l1)/2 |b|^2 for many problems.
+
+    ``points`` are (index into ``sets``, alpha, l1).  Coordinate descent moves one coordinate
+    of all open problems at a time; a problem closes when a sweep moves it no further.
+    Returns the coefficients on the scaled columns and how many problems stayed open at the
+    limit of sweeps.
+    """
+    p = max((len(s.mean) for s in sets), default=0)
+    g, c = np.zeros((len(sets), p, p)), np.zeros((len(sets), p))
+    for i, s in enumerate(sets):  # constant columns keep zeros and never move
+        g[np.ix_([i], s.keep, s.keep)] = s.g
+        c[i, s.keep] = s.c
+    of = np.array([i for i, _, _ in points])
+    lasso = np.array([a * r for _, a, r in points])
+    ridge = np.array([a * (1.0 - r) for _, a, r in points])
+    done = np.zeros((len(points), p))
+    active, b, grad = np.arange(len(points)), np.zeros((len(points), p)), c[of]
     for _ in range(MAX_SWEEPS):
-        moved = 0.0
-        for j in range(p):
-            r = grad[j] + s.g[j, j] * b[j]
-            new = np.sign(r) * max(abs(r) - lasso, 0.0) / (s.g[j, j] + ridge)
-            step = new - b[j]
-            if step:
-                grad -= s.g[:, j] * step
-                b[j] = new
-                moved = max(moved, abs(step))
-        if moved <= TOLERANCE * max(1.0, np.abs(b).max(initial=0.0)):
+        if not len(active):
             break
-    return b
+        own, moved = of[active], np.zeros(len(active))
+        for j in range(p):
+            curve = g[own, j, j]
+            pull = grad[:, j] + curve * b[:, j]
+            bottom = curve + ridge[active]
+            new = np.sign(pull) * np.maximum(np.abs(pull) - lasso[active], 0.0) / np.where(bottom > 0, bottom, 1.0)
+            step = new - b[:, j]
+            grad -= g[own, :, j] * step[:, None]
+            b[:, j] = new
+            np.maximum(moved, np.abs(step), out=moved)
+        still = moved > TOLERANCE * np.maximum(1.0, np.abs(b).max(axis=1, initial=0.0))
+        done[active] = b
+        active, b, grad = active[still], b[still], grad[still]
+    return [row[sets[i].keep] for row, i in zip(done, of)], len(active)
+
+
+def elastic_net(s: Scaled, alpha: float, l1: float) -> np.ndarray:
+    return elastic_nets([s], [(0, alpha, l1)])[0][0]
 
 
 def sse(m: np.ndarray, coef: np.ndarray) -> float:
@@ -141,16 +162,11 @@ def sse(m: np.ndarray, coef: np.ndarray) -> float:
 
 
 def pick_best(rows: list[tuple[float, float, float]]) -> tuple[float, float]:
-    """Smallest error in grid order; within 1e-12 the larger alpha, then the larger ratio."""
-    best = None
-    for err, alpha, l1 in rows:
-        if not math.isfinite(err):
-            continue
-        if best is None or err < best[0] - TIE:
-            best = (err, alpha, l1)
-        elif abs(err - best[0]) < TIE and (alpha, l1) > best[1:]:
-            best = (err, alpha, l1)
-    return best[1], best[2]
+    """(alpha, ratio) of the least finite error; errors up to 1e-12 above it tie with it, and the
+    strongest penalty of the tied ones wins (larger alpha, then larger ratio)."""
+    table = np.array([r for r in rows if math.isfinite(r[0])])
+    tied = table[table[:, 0] <= table[:, 0].min() + TIE, 1:]
+    return tuple(map(float, tied[np.lexsort((tied[:, 1], tied[:, 0]))[-1]]))
 
 
 def group_folds_within(groups: DataFrame, outer: DataFrame, group: str, n_inner: int) -> DataFrame:
@@ -231,7 +247,8 @@ def fold_medians(df: DataFrame, assign: DataFrame, group: str, features: list[st
     and the map-side part of the quantile passes only.
     """
     keys = ["repeat", "outer_fold", "left_out"]
-    held = F.array(F.lit(-1), *[F.lit(k) for k in range(5)]) if with_inner else F.array(F.lit(-1))
+    n_inner = (assign.agg(F.max("inner")).first()[0] or 0) + 1 if with_inner else 0
+    held = F.array(*[F.lit(k) for k in range(-1, n_inner)])
     a = assign.where("inner >= 0").withColumn("left_out", F.explode(held)).where("left_out <> inner")
     sets = a.groupBy(group).agg(F.collect_list(F.struct(*keys)).alias("sets"))  # few dozen entries
     sets = side_table(sets)
@@ -274,7 +291,8 @@ def elastic_net_cv(df: DataFrame, assign: DataFrame, group: str, features: list[
             "fills", F.array().cast("array<struct<left_out:int,v:array<double>>>"))
     tasks = packed.join(med, ["repeat", "outer_fold"])
     schema = ("repeat int, outer_fold int, alpha double, l1_ratio double, inner_rmse double, "
-              "n_train double, n_test double, test_sse double, coef array<double>, fill array<double>")
+              "n_train double, n_test double, test_sse double, coef array<double>, fill array<double>, "
+              "not_converged int")
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         mats = {int(i): _square(np.asarray(v, dtype=float), width)
@@ -282,22 +300,18 @@ def elastic_net_cv(df: DataFrame, assign: DataFrame, group: str, features: list[
         fills = {int(r["left_out"]): np.asarray(r["v"], dtype=float) for r in pdf["fills"].iloc[0]}
         zero = np.zeros(p)
         inner = sorted(i for i in mats if i >= 0)
-        whole = sum(mats[i] for i in inner)
+        whole, open_ = sum(mats[i] for i in inner), 0
         grid = [(a, l) for a in alphas for l in l1_ratios]
         if pdf["n_groups"].iloc[0] < 2 or len(inner) < 2:
             (alpha, l1), err = DEFAULT_FIT, float("nan")
         else:
-            errors = np.zeros((len(inner), len(grid)))
-            for k, i in enumerate(inner):
-                fill = fills.get(i, zero)
-                s = Scaled(_filled(whole - mats[i], p, fill))
-                held = _filled(mats[i], p, fill)
-                for l in l1_ratios:  # warm starts along falling alpha
-                    b = None
-                    for a in sorted(alphas, reverse=True):
-                        b = elastic_net(s, a, l, b)
-                        errors[k, grid.index((a, l))] = math.sqrt(sse(held, s.raw(b)) / held[0, 0])
-            mean = errors.mean(axis=0)
+            fill = [fills.get(i, zero) for i in inner]
+            train = [Scaled(_filled(whole - mats[i], p, f)) for i, f in zip(inner, fill)]
+            held = [_filled(mats[i], p, f) for i, f in zip(inner, fill)]
+            fitted, open_ = elastic_nets(train, [(k, *g) for k in range(len(inner)) for g in grid])
+            errors = [math.sqrt(sse(held[k // len(grid)], train[k // len(grid)].raw(b)) / held[k // len(grid)][0, 0])
+                      for k, b in enumerate(fitted)]
+            mean = np.reshape(errors, (len(inner), len(grid))).mean(axis=0)
             alpha, l1 = pick_best([(float(e), *g) for e, g in zip(mean, grid)])
             err = float(mean[grid.index((alpha, l1))])
         fill = fills.get(-1, zero)
@@ -305,7 +319,7 @@ def elastic_net_cv(df: DataFrame, assign: DataFrame, group: str, features: list[
         coef = s.raw(elastic_net(s, alpha, l1))
         test = _filled(mats[-1], p, fill) if -1 in mats else np.zeros((p + 2, p + 2))
         return pd.DataFrame([(int(key[0]), int(key[1]), alpha, l1, err, float(s.n), float(test[0, 0]),
-                              sse(test, coef), list(coef), list(fill))],
+                              sse(test, coef), list(coef), list(fill), open_)],
                             columns=[c.split()[0] for c in schema.split(", ")])
 
     return tasks.groupBy("repeat", "outer_fold").applyInPandas(fit, schema)
@@ -329,21 +343,25 @@ def predict_oof(df: DataFrame, assign: DataFrame, fits: DataFrame, key: str, gro
 
 def fixed_fits(df: DataFrame, assign: DataFrame, chosen: DataFrame, group: str, features: list[str],
                y: str) -> DataFrame:
-    """Refit every outer fold with hyper-parameters looked up in ``chosen``."""
+    """Refit every outer fold with hyper-parameters looked up in ``chosen``; gaps take the
+    median of the fold's training groups."""
     p, width = len(features), 2 * len(features) + 2
     m = fold_grams(df, assign, group, features, y).where("inner >= 0").groupBy(
         "repeat", "outer_fold", "idx").agg(F.sum("value").alias("value")).groupBy(
         "repeat", "outer_fold").agg(
         F.array_sort(F.collect_list(F.struct("idx", "value")))["value"].alias("m"))
     j = m.join(chosen.select("repeat", "outer_fold", "alpha", "l1_ratio"), ["repeat", "outer_fold"])
+    med = fold_medians(df, assign, group, features, False).select("repeat", "outer_fold", F.array(*[
+        F.coalesce(F.col(f), F.lit(0.0)) for f in features]).alias("v"))
+    j = j.join(med, ["repeat", "outer_fold"], "left")
 
     def fit(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples():
-                s = Scaled(_filled(_square(np.asarray(r.m, dtype=float), width), p, np.zeros(p)))
-                out.append((r.repeat, r.outer_fold, list(s.raw(elastic_net(s, r.alpha, r.l1_ratio))),
-                            [0.0] * p))
+                fill = np.zeros(p) if r.v is None else np.asarray(r.v, dtype=float)
+                s = Scaled(_filled(_square(np.asarray(r.m, dtype=float), width), p, fill))
+                out.append((r.repeat, r.outer_fold, list(s.raw(elastic_net(s, r.alpha, r.l1_ratio))), list(fill)))
             yield pd.DataFrame(out, columns=["repeat", "outer_fold", "coef", "fill"])
 
     return j.mapInPandas(fit, "repeat int, outer_fold int, coef array<double>, fill array<double>")
@@ -503,15 +521,13 @@ def per_length_fits(sub: DataFrame, length: str, group: str, features: list[str]
     def search(parts: dict[int, np.ndarray]) -> tuple[float, float]:
         if len(parts) < 2:
             return DEFAULT_FIT
-        whole, rows = sum(parts.values()), {}
-        for held in parts.values():
-            s = Scaled(whole - held)
-            for l in l1_ratios:
-                b = None
-                for a in sorted(alphas, reverse=True):
-                    b = elastic_net(s, a, l, b)
-                    rows.setdefault((a, l), []).append(sse(held, s.raw(b)) / max(held[0, 0], 1.0))
-        return pick_best([(float(np.mean(rows[(a, l)])), a, l) for a in alphas for l in l1_ratios])
+        whole, held = sum(parts.values()), list(parts.values())
+        train, grid = [Scaled(whole - h) for h in held], [(a, r) for a in alphas for r in l1_ratios]
+        fitted, _ = elastic_nets(train, [(k, *g) for k in range(len(held)) for g in grid])
+        err = [sse(held[k // len(grid)], train[k // len(grid)].raw(b)) / max(held[k // len(grid)][0, 0], 1.0)
+               for k, b in enumerate(fitted)]
+        mean = np.reshape(err, (len(held), len(grid))).mean(axis=0)
+        return pick_best([(float(e), *g) for e, g in zip(mean, grid)])
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         cells = {(int(o), int(i)): _filled(_square(np.asarray(v, dtype=float), width), p, np.zeros(p))

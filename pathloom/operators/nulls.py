@@ -83,10 +83,13 @@ def latency_permutation(onset: DataFrame, half: int, tag: str) -> DataFrame:
 
 def rewire(edges: DataFrame, half: int, tag: str, per_edge: int = 4, patience: int = 20
            ) -> DataFrame:
-    """Degree-preserving double-edge swaps of the undirected mask, per half.
+    """Degree-preserving exchanges of edge ends in the undirected mask, per half.
 
-    Swaps depend on each other, so one half is one task; it holds at most
-    half^2 / 2 edges whatever the size of the source tables.
+    In every round the edges of a half are paired at random; all pairs whose exchange keeps
+    the graph simple and doesn't collide with another one of the round take place at once.
+    Rounds go on until ``per_edge`` exchanges an edge are made, at most
+    ``per_edge * patience`` of them.  A half is one task: its size is bounded by the square
+    of its nodes, whatever the size of the source tables.
     """
     und = edges.where(F.col("mask") & ((F.col("u") < half) == (F.col("v") < half))).select(
         (F.col("u") < half).alias("left"), F.least("u", "v").alias("a"),
@@ -96,23 +99,33 @@ def rewire(edges: DataFrame, half: int, tag: str, per_edge: int = 4, patience: i
         left = bool(pdf["left"].iloc[0])
         seed = int.from_bytes(hashlib.sha256(f"{tag}|{int(left)}".encode()).digest()[:8], "big")
         rng = np.random.default_rng(seed)
-        pairs = sorted(zip(pdf["a"].astype(int), pdf["b"].astype(int)))
-        have = set(pairs)
-        want = per_edge * len(pairs)
-        made = 0
-        for _ in range(patience * want):
-            if made == want or len(pairs) < 2:
+        pdf = pdf.sort_values(["a", "b"])
+        nodes, ends = np.unique(pdf[["a", "b"]].to_numpy(), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        linked = np.zeros((len(nodes), len(nodes)), bool)
+        linked[ends[:, 0], ends[:, 1]] = linked[ends[:, 1], ends[:, 0]] = True
+        todo, m = per_edge * len(ends), len(ends) // 2
+        for _ in range(per_edge * patience):
+            if todo <= 0 or not m:
                 break
-            i, j = rng.integers(0, len(pairs), size=2)
-            (a, b), (c, d) = pairs[i], pairs[j]
-            new = (min(a, d), max(a, d)), (min(c, b), max(c, b))
-            if len({a, b, c, d}) < 4 or new[0] in have or new[1] in have:
-                continue
-            have -= {pairs[i], pairs[j]}
-            have |= set(new)
-            pairs[i], pairs[j] = new
-            made += 1
-        return pd.DataFrame({"left": left, "a": [p[0] for p in pairs], "b": [p[1] for p in pairs]})
+            order = rng.permutation(len(ends))
+            one, two = order[:m], order[m:2 * m]
+            x = ends[one]
+            y = np.where(rng.integers(0, 2, (m, 1)) == 1, ends[two], ends[two][:, ::-1])
+            fresh = np.stack([np.c_[x[:, 0], y[:, 1]], np.c_[y[:, 0], x[:, 1]]], axis=1)  # pair, edge, end
+            code = fresh.min(axis=2) * len(nodes) + fresh.max(axis=2)
+            times = np.unique(code, return_inverse=True, return_counts=True)
+            alone = (times[2][times[1].reshape(code.shape)] == 1).all(axis=1)
+            apart = (x[:, :, None] != y[:, None, :]).all(axis=(1, 2))
+            ok = np.flatnonzero(alone & apart & ~linked[fresh[..., 0], fresh[..., 1]].any(axis=1))[:todo]
+            for old in (x[ok], y[ok]):
+                linked[old[:, 0], old[:, 1]] = linked[old[:, 1], old[:, 0]] = False
+            for which, new in ((one, fresh[ok, 0]), (two, fresh[ok, 1])):
+                linked[new[:, 0], new[:, 1]] = linked[new[:, 1], new[:, 0]] = True
+                ends[which[ok]] = new
+            todo -= len(ok)
+        out = np.sort(nodes[ends], axis=1)
+        return pd.DataFrame({"left": left, "a": out[:, 0], "b": out[:, 1]}).astype(pdf.dtypes.to_dict())
 
     return und.groupBy("left").applyInPandas(swap, und.schema)
 

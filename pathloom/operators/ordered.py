@@ -32,12 +32,10 @@ def scan(df: DataFrame, keys: list[str], order: list, running: dict[str, tuple[s
     """Inclusive running aggregates per ``keys`` in ``order``.
 
     ``running`` maps output name to (``sum``/``min``/``max``, expression).
-    ``order`` must be total within a group (add an id as tiebreak).  Rows with a
-    NULL key belong to no group and are left out.
+    ``order`` must be total within a group (add an id as tiebreak).  A NULL key is
+    a group like any other.
     """
     order_cols = _sort_columns(order)
-    for k in keys:
-        df = df.where(F.col(k).isNotNull())
     if is_small(df, SMALL):
         w = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order_cols)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -62,12 +60,15 @@ def scan(df: DataFrame, keys: list[str], order: list, running: dict[str, tuple[s
     local = placed
     for n, (op, _) in running.items():
         local = local.withColumn(f"__l_{n}", _OPS[op](f"__x_{n}").over(here))
-    # same clustering as the window above, so only the small carry side moves
-    out = local.join(carry, part, "left")
+    same = F.col("__pid") == F.col("__k___pid")
+    for k in keys:  # null-safe
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    carry = carry.select(*[F.col(c).alias(f"__k_{c}") for c in part], *[f"__c_{n}" for n in running])
+    out = local.join(broadcast_if_small(materialize(carry)), same, "left")
     for n, (op, _) in running.items():
         out = out.withColumn(n, F.when(F.col(f"__c_{n}").isNull(), F.col(f"__l_{n}"))
                              .otherwise(_MERGE[op](F.col(f"__c_{n}"), F.col(f"__l_{n}"))))
-    drop = ["__pid"]
+    drop = ["__pid", *[f"__k_{c}" for c in part]]
     for n in running:
         drop += [f"__x_{n}", f"__l_{n}", f"__c_{n}"]
     return out.drop(*drop)

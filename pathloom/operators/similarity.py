@@ -6,7 +6,6 @@ targets, whose number is checked before anything is held in one place.
 
 from __future__ import annotations
 
-import itertools
 
 import numpy as np
 import pandas as pd
@@ -351,75 +350,98 @@ def silhouette(dist: DataFrame, labels: DataFrame, key: str, cluster: str) -> Da
                                 / F.greatest("own", "other")).otherwise(0.0).alias("silhouette"))
 
 
-def _target_matrix(vectors: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
-    if not is_small(vectors, TARGET_LIMIT):
-        raise ValueError("meant for targets; use pyspark.ml.clustering on rows")
-    rows = sorted(vectors.select(key, vec).collect(), key=lambda r: r[key])  # <= TARGET_LIMIT
-    return [r[key] for r in rows], np.array([r[vec] for r in rows], dtype=float)
+def _dimension(vectors: DataFrame, vec: str) -> int:
+    return vectors.agg(F.max(F.size(vec))).first()[0] or 0
+
+
+def _square_distance(a, b) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
 def kmeans_targets(vectors: DataFrame, key: str, vec: str, k: int = 3, restarts: int = 500,
                    iterations: int = 200, tag: str = "kmeans") -> DataFrame:
-    """Best of many k-means restarts; restarts run in parallel tasks."""
-    spark = vectors.sparkSession
-    names, x = _target_matrix(vectors, key, vec)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf["id"]:
-                rng = np.random.default_rng([int(r), len(tag)])
-                c = x[rng.choice(len(x), size=k, replace=False)]
-                lab = None
-                for _ in range(iterations):
-                    d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
-                    new = d.argmin(axis=1)
-                    if lab is not None and (new == lab).all():
-                        break
-                    lab = new
-                    c = np.array([x[lab == j].mean(axis=0) if (lab == j).any() else c[j]
-                                  for j in range(k)])
-                inertia = float(((x - c[lab]) ** 2).sum())
-                seen: dict[int, int] = {}
-                canon = [seen.setdefault(int(v), len(seen)) for v in lab]
-                out.append((int(r), round(inertia, 9), canon))
-            yield pd.DataFrame(out, columns=["restart", "inertia", "labels"])
-
-    best = spark.range(restarts).mapInPandas(
-        run, "restart long, inertia double, labels array<int>").agg(
-        F.min(F.struct("inertia", "restart", "labels")).alias("b"))
-    lookup = F.array(*[F.lit(n) for n in names])
-    z = best.select("b.inertia", F.explode(F.arrays_zip(
-        lookup.alias("k"), F.col("b.labels").alias("c"))).alias("e"))
-    return z.select(F.col("e.k").alias(key), F.col("e.c").alias("cluster"), "inertia")
-
-
-def ward(vectors: DataFrame, key: str, vec: str) -> tuple[list[tuple], float]:
-    """Ward merges (left, right, height, size) of the targets, and the cophenetic correlation."""
-    _, x = _target_matrix(vectors, key, vec)
-    n = len(x)
-    d0 = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
-    d = {frozenset(p): d0[p] ** 2 for p in itertools.combinations(range(n), 2)}
-    size = {i: 1 for i in range(n)}
-    leaves = {i: [i] for i in range(n)}
-    coph = np.zeros((n, n))
-    merges = []
-    for step in range(n, 2 * n - 1):
-        i, j = min((tuple(sorted(p)) for p in d), key=lambda p: (d[frozenset(p)], p))
-        dij = d.pop(frozenset((i, j)))
-        for a in leaves[i]:
-            for b in leaves[j]:
-                coph[a, b] = coph[b, a] = np.sqrt(dij)
-        for m in [m for m in size if m not in (i, j)]:
-            s = size[i] + size[j] + size[m]
-            d[frozenset((step, m))] = ((size[i] + size[m]) * d.pop(frozenset((i, m)))
-                                       + (size[j] + size[m]) * d.pop(frozenset((j, m)))
-                                       - size[m] * dij) / s
-        size[step] = size.pop(i) + size.pop(j)
-        leaves[step] = leaves.pop(i) + leaves.pop(j)
-        merges.append((i, j, float(np.sqrt(dij)), size[step]))
-    up = np.triu_indices(n, 1)
-    return merges, float(np.corrcoef(d0[up], coph[up])[0, 1])
+    """Best of many k-means restarts: (key, cluster, inertia), clusters by their first key.
+
+    All restarts advance together, one aggregation a round; a restart whose centres stand
+    still leaves the loop.  A restart begins at the ``k`` targets with the least hash.  The
+    centres (restarts x k rows) are broadcast; targets stay where they are.
+    """
+    points = materialize(vectors.select(F.col(key).alias("p"), F.col(vec).alias("x")))
+    dim = _dimension(points, "x")
+    every = points.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    first = Window.partitionBy("r").orderBy(hash_hex(tag, F.col("r"), F.col("p")), "p")
+    centres = materialize(every.withColumn("c", F.row_number().over(first) - 1).where(F.col("c") < k).select("r", "c", "x"))
+
+    def assigned(now: DataFrame) -> DataFrame:
+        table = now.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("c", "x"))).alias("t"))
+        best = F.array_min(F.transform("t", lambda q: F.struct(
+            _square_distance(F.col("x"), q["x"]).alias("d"), q["c"].alias("c"))))
+        return points.crossJoin(F.broadcast(table)).select("r", "p", "x", best.alias("b")).select(
+            "r", "p", "x", "b.c", "b.d")
+
+    still, open_ = None, centres
+    for _ in range(iterations):
+        mean = assigned(open_).groupBy("r", "c").agg(F.array(*[
+            F.avg(F.element_at("x", i + 1)) for i in range(dim)]).alias("m"))
+        moved = materialize(open_.join(mean, ["r", "c"], "left").select(
+            "r", "c", F.coalesce("m", "x").alias("x"), (~F.coalesce(F.col("m") == F.col("x"), F.lit(True))).alias("moves")))
+        going = moved.groupBy("r").agg(F.bool_or("moves").alias("moves"))
+        moved = moved.drop("moves").join(going, "r")
+        done = moved.where(~F.col("moves")).drop("moves")
+        still = done if still is None else still.unionByName(done)
+        open_ = moved.where("moves").drop("moves")
+        if open_.isEmpty():
+            break
+    ended = assigned(materialize(still.unionByName(open_)))
+    inertia = ended.groupBy("r").agg(F.round(F.sum("d"), 9).alias("inertia"))
+    best = inertia.agg(F.min(F.struct("inertia", "r")).alias("b")).select("b.*")
+    rows = materialize(ended.join(F.broadcast(best), "r"))
+    order = rows.groupBy("c").agg(F.min("p").alias("f")).withColumn(
+        "cluster", F.row_number().over(Window.orderBy("f")) - 1)  # k rows
+    return rows.join(F.broadcast(order), "c").select(F.col("p").alias(key), "cluster", "inertia")
+
+
+def ward(vectors: DataFrame, key: str, vec: str) -> DataFrame:
+    """Ward merges of the targets: (left_id, right_id, height, size, cophenetic_r).
+
+    Targets are numbered by key, merged clusters from there on.  Every merge is one round on
+    the table of squared distances between open clusters (the matrix is the method's state);
+    the driver only sees which two clusters merge.  Ties go to the smallest ids.
+    """
+    points = vectors.select(F.col(key).alias("k"), F.col(vec).alias("x"))
+    n = points.count()
+    points = materialize(points.withColumn("id", F.row_number().over(Window.orderBy("k")) - 1))
+    other = points.select(F.col("id").alias("b"), F.col("x").alias("y"))
+    apart = materialize(points.withColumnRenamed("id", "a").join(other, F.col("a") < F.col("b")).select(
+        "a", "b", _square_distance(F.col("x"), F.col("y")).alias("d")))
+    start, size, members = apart, {i: 1 for i in range(n)}, points.select(F.col("id").alias("c"), F.col("id").alias("leaf"))
+    merges, joined = [], None
+    for new in range(n, 2 * n - 1):
+        low = apart.agg(F.min(F.struct("d", "a", "b")).alias("m")).first()["m"]
+        i, j, d = low["a"], low["b"], low["d"]
+        height, weight = float(np.sqrt(d)), size[i] + size[j]
+        merges.append((i, j, height, weight))
+        pair = members.where(F.col("c") == i).select(F.col("leaf").alias("p")).join(
+            members.where(F.col("c") == j).select(F.col("leaf").alias("q"))).select(
+            F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.lit(height).alias("h"))
+        joined = pair if joined is None else joined.unionByName(pair)
+        gone = lambda c: F.col(c).isin(i, j)
+        rest = F.when(gone("a"), F.col("b")).otherwise(F.col("a"))
+        own = F.when(F.coalesce(F.when(gone("a"), F.col("a")), F.col("b")) == i, size[i]).otherwise(size[j])
+        count = F.create_map(*[F.lit(v) for kv in size.items() for v in kv])[F.col("m")]
+        touched = apart.where(gone("a") != gone("b")).select(rest.alias("m"), own.alias("own"), "d").groupBy("m").agg(
+            F.sum((F.col("own") + count) * F.col("d")).alias("s"))
+        touched = touched.select(F.col("m").alias("a"), F.lit(new).alias("b"),
+                                 ((F.col("s") - count * d) / (count + weight)).alias("d"))
+        apart = materialize(apart.where(~gone("a") & ~gone("b")).unionByName(touched))
+        members = materialize(members.withColumn("c", F.when(gone("c"), F.lit(new)).otherwise(F.col("c"))))
+        size = {c: v for c, v in size.items() if c not in (i, j)} | {new: weight}
+        joined = materialize(joined)
+    out = vectors.sparkSession.createDataFrame(merges, "left_id int, right_id int, height double, size int")
+    if joined is None:
+        return out.withColumn("cophenetic_r", F.lit(None).cast("double"))
+    r = start.join(joined, ["a", "b"]).agg(F.corr(F.sqrt("d"), F.col("h")).alias("cophenetic_r"))
+    return out.crossJoin(F.broadcast(r))
 
 
 def pca(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -454,13 +476,17 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(targets: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Kendall tau-b over targets, from an array literal of the checked target table."""
-    if not is_small(targets, TARGET_LIMIT):
-        raise ValueError("meant for targets")
-    rows = targets.select(key, x, y).collect()  # <= TARGET_LIMIT
-    table = F.array(*[F.struct(F.lit(r[key]).alias("k"), F.lit(float(r[x])).alias("x"),
-                               F.lit(float(r[y])).alias("y")) for r in rows])
-    j = targets.select(key, F.col(x).alias("x0"), F.col(y).alias("y0"), F.explode(table).alias("o")
-                       ).where(F.col(key) < F.col("o.k"))
-    sx, sy = F.signum(F.col("x0") - F.col("o.x")), F.signum(F.col("y0") - F.col("o.y"))
-    return j.agg((F.sum(sx * sy) / F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy)))).alias("tau"))
+    """Kendall tau-b over targets; equal (x, y) pairs are counted once with their number.
+
+    Concordance is a statement about pairs, so distinct values meet in a range join on x."""
+    v = materialize(targets.groupBy(F.col(x).alias("x0"), F.col(y).alias("y0")).agg(
+        F.count(F.lit(1)).cast("double").alias("m")))
+    o = v.select(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("m").alias("m1"))
+    balance = v.join(o, F.col("x0") < F.col("x1")).agg(F.coalesce(F.sum(
+        F.col("m") * F.col("m1") * F.signum(F.col("y1") - F.col("y0"))), F.lit(0.0)).alias("s"))
+    n = targets.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    untied = lambda c: v.groupBy(c).agg(F.sum("m").alias("m")).agg(
+        F.sum(F.col("m") * F.col("m")).alias(f"q{c}"))
+    row = balance.join(n).join(untied("x0")).join(untied("y0"))  # one row each
+    pairs = lambda q: (F.col("n") * F.col("n") - F.col(q)) / 2.0
+    return row.select((F.col("s") / F.sqrt(pairs("qx0") * pairs("qy0"))).alias("tau"))

@@ -88,21 +88,37 @@ def pair(a: DataFrame, b: DataFrame, sample_map: DataFrame) -> DataFrame:
         sample_map.select("sample_id", "seed"), "sample_id", "left")
 
 
+def arm(frame: DataFrame, prediction: str = "y_pred", label: str | None = None) -> DataFrame:
+    """One arm of a prediction frame: its keys, outcome and the named prediction, of the
+    rows that carry ``label`` if one is given."""
+    rows = frame if label is None else frame.where(F.col("arm") == label)
+    return rows.select(*KEY, "y_true", F.col(prediction).alias("y_pred"))
+
+
 def wide_arms(frame: DataFrame, a: str = "c8r_pred", b: str = "c4_pred"
               ) -> tuple[DataFrame, DataFrame]:
-    require_columns(frame, [*KEY, "y_true", a, b], "wide OOF")
-    take = lambda c: frame.select(*KEY, "y_true", F.col(c).alias("y_pred"))
-    return take(a), take(b)
+    """Both arms of a frame with a prediction column each."""
+    require_columns(frame, [*KEY, "y_true", a, b], "two-column predictions")
+    return arm(frame, a), arm(frame, b)
+
+
+def label_checks(frame: DataFrame, labels: list[str]) -> DataFrame:
+    """Wanted labels without a row, and labels nobody asked for, as (check, n_bad)."""
+    seen = frame.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).where("arm is not null")
+    wanted = F.col("arm").isin(labels)
+    n = seen.agg(F.count_if(wanted).alias("hit"), F.count_if(~wanted).alias("stray"))
+    return n.select(F.explode(F.array(
+        F.struct(F.lit("arm label without rows").alias("check"), (F.lit(len(set(labels))) - F.col("hit")).alias("n_bad")),
+        F.struct(F.lit("unknown arm label").alias("check"), F.col("stray").alias("n_bad")),
+        F.struct(F.lit("arm label named twice").alias("check"),
+                 F.lit(len(labels) - len(set(labels))).cast("bigint").alias("n_bad")))).alias("c")).select("c.*")
 
 
 def labelled_arms(frame: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    require_columns(frame, [*KEY, "y_true", "y_pred", "arm"], "labelled OOF")
-    found = {r["arm"] for r in frame.select("arm").where("arm is not null").distinct()
-             .limit(3).collect()}
-    if a == b or found != {a, b}:
-        raise ValueError("labelled OOF must contain exactly the two selected arm labels")
-    take = lambda k: frame.where(F.col("arm") == k).select(*KEY, "y_true", "y_pred")
-    return take(a), take(b)
+    """Both arms of a frame whose column ``arm`` names them; any other label is refused."""
+    require_columns(frame, [*KEY, "y_true", "y_pred", "arm"], "labelled predictions")
+    require(label_checks(frame, [a, b]))
+    return arm(frame, label=a), arm(frame, label=b)
 
 
 def completion_checks(oof: DataFrame, n_folds: int, n_repeats: int) -> DataFrame:

@@ -180,20 +180,23 @@ def name_cleanup(spark, sf):
 
 
 # ---- targets: labels of the vectors, four features each -------------------------------
+# a feature is the mean of a quarter of the vector, so all 64 dimensions take part
 
 COLS = ["f1", "f2", "f3", "f4"]
 REFERENCE = 0  # label of the reference group
 
-EMB_SQL = """with emb as (select vec_id, label, embedding[1]::double f1, embedding[2]::double f2,
-    embedding[3]::double f3, embedding[4]::double f4 from embeddings),
+EMB_SQL = "with emb as (select vec_id, label, " + ", ".join(
+    f"list_sum(list_transform(embedding[{16 * i + 1}:{16 * i + 16}], lambda v: v::double)) / 16 f{i + 1}"
+    for i in range(4)) + """ from embeddings),
 mv as (select label, count(*)::bigint n, avg(f1) f1, avg(f2) f2, avg(f3) f3, avg(f4) f4
        from emb group by label)"""
 
 
 def vectors(spark, sf):
     e = fx.table(spark, sf, "embeddings")
-    return e.select("vec_id", "label", *[
-        F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(COLS)])
+    return e.select("vec_id", "label", *[(F.aggregate(
+        F.slice("embedding", 16 * i + 1, 16), F.lit(0.0), lambda a, v: a + v.cast("double")) / 16).alias(c)
+        for i, c in enumerate(COLS)])
 
 
 @query("group_means", EMB_SQL + """
@@ -497,9 +500,16 @@ def kmeans(spark, sf):
 
 @query("ward")
 def ward(spark, sf):
-    merges, coph = Q.ward(materialize(mean_arrays(spark, sf)), "label", "vec")
-    return spark.createDataFrame([(*m, coph) for m in merges],
-                                 "left_id int, right_id int, height double, size int, cophenetic_r double")
+    return Q.ward(materialize(mean_arrays(spark, sf)), "label", "vec")
+
+
+@query("ward_sum_of_squares", EMB_SQL + """,
+c as (select avg(f1) c1, avg(f2) c2, avg(f3) c3, avg(f4) c4 from mv)
+select count(*)::bigint - 1 n_merges, round(sum((f1-c1)^2 + (f2-c2)^2 + (f3-c3)^2 + (f4-c4)^2), 9) total from mv, c""")
+def ward_sum_of_squares(spark, sf):
+    """Half of the squared heights of all merges, which is the total sum of squares."""
+    return ward(spark, sf).agg(F.count(F.lit(1)).alias("n_merges"),
+                               F.round(F.sum(F.col("height") * F.col("height")) / 2, 9).alias("total"))
 
 
 @query("pca")
@@ -531,7 +541,7 @@ cf as (""" + " union all ".join(
     f"select '{s}' coef_source, " + ", ".join(f"{v}::double c_{f}" for f, v in zip(At.FEATURES, c))
     for s, c in COEF.items()) + """),
 con as (select sample_id, path_key, path_len, u, v, sub.length, coef_source, """ + ", ".join(
-    f"round(abs(c_{f} * ({f} - m_{f}) / s_{f}), 9) k_{f}" for f in At.FEATURES) + """
+    f"coalesce(round(abs(c_{f} * ({f} - m_{f}) / nullif(s_{f}, 0)), 9), 0.0) k_{f}" for f in At.FEATURES) + """
   from sub join sc using (length), cf),
 dom as (select *, case when greatest(k_nav, k_rout, k_search, k_comm) = 0 then 'all_zero'
   when k_nav >= greatest(k_rout, k_search, k_comm) then 'nav'
@@ -578,12 +588,12 @@ def dominant_mode(spark, sf):
 @query("mode_by_length", CON_SQL + """
 select length, coef_source, count(*)::bigint n_samples, count(distinct (u, v))::bigint n_unique_pairs,
   count(*) filter (mode = 'all_zero')::bigint n_all_zero,
-  count(*) filter (mode = 'routing')::double / count(*) filter (mode <> 'all_zero') routing_ratio,
-  count(*) filter (mode = 'diffusion')::double / count(*) filter (mode <> 'all_zero') diffusion_ratio,
-  """ + ", ".join(f"count(*) filter (feat = '{f}')::double / count(*) filter (mode <> 'all_zero') {f}_ratio"
+  count(*) filter (mode = 'routing')::double / nullif(count(*) filter (mode <> 'all_zero'), 0) routing_ratio,
+  count(*) filter (mode = 'diffusion')::double / nullif(count(*) filter (mode <> 'all_zero'), 0) diffusion_ratio,
+  """ + ", ".join(f"count(*) filter (feat = '{f}')::double / nullif(count(*) filter (mode <> 'all_zero'), 0) {f}_ratio"
                   for f in At.FEATURES) + """,
   round(sum(k_nav + k_rout) filter (mode <> 'all_zero')
-    / sum(k_nav + k_rout + k_search + k_comm) filter (mode <> 'all_zero'), 6) routing_share
+    / nullif(sum(k_nav + k_rout + k_search + k_comm) filter (mode <> 'all_zero'), 0), 6) routing_share
 from typ group by length, coef_source""")
 def mode_by_length(spark, sf):
     return At.mode_by_length(contributions(spark, sf)).withColumn(
@@ -611,7 +621,7 @@ def path_transition(spark, sf):
 
 @query("accumulation", CLASS_SQL + """,
 m0 as (select length, coef_source, count(*) filter (mode = 'diffusion')::double
-         / count(*) filter (mode <> 'all_zero') dr from typ group by length, coef_source),
+         / nullif(count(*) filter (mode <> 'all_zero'), 0) dr from typ group by length, coef_source),
 ml as (select *, row_number() over (partition by coef_source order by length) i from m0),
 ac as (select t.coef_source, t.full_length, count(ml.dr) n, product(1 - ml.dr) p, any_value(partial_ratio) ob
        from trn t left join ml on ml.coef_source = t.coef_source and ml.i between 2 and full_length + 1

@@ -13,7 +13,7 @@ from pathloom.operators import graph as G
 from pathloom.operators import nulls as N
 from pathloom.operators.ordered import exact_quantiles
 from pathloom.plans import fixture as fx
-from pathloom.plans.fixture import WITH_PATH
+from pathloom.plans.fixture import WITH_EDGE, WITH_PATH
 from pathloom.plans.graph_queries import SAMPLE_K, SAMPLE_SQL
 from pathloom.plans.registry import query
 from pathloom.session import materialize
@@ -86,8 +86,8 @@ def pathset_jaccard(spark, sf):
 @query("diverse_selection")
 def diverse_selection(spark, sf):
     _, d = fx.dag(spark, sf)
-    p = G.sampled_paths(d, fx.MAX_LEN, 64, "ddvs")
-    return D.diverse_paths(p, CELL, keep=4, jaccard=0.6).select(
+    p = G.sampled_paths(d, fx.MAX_LEN, SAMPLE_K, "ddvs")
+    return D.diverse_paths(p, CELL).select(
         *CELL, F.array_join("nodes", "|").alias("path_key"), "pick")
 
 
@@ -353,6 +353,17 @@ def sc_rewire(spark, sf):
     return N.rewire(e, 13, "rewire")
 
 
+@query("sc_rewire_degrees", WITH_EDGE + """,
+und as (select distinct u < 13 l, least(u, v) a, greatest(u, v) b from edge where mask and (u < 13) = (v < 13))
+select l as "left", node, count(*)::bigint degree from (select l, a node from und union all select l, b from und)
+group by all""")
+def sc_rewire_degrees(spark, sf):
+    """Degrees after rewiring, which are those before it."""
+    e = sc_rewire(spark, sf)
+    ends = e.select("left", F.explode(F.array("a", "b")).alias("node"))
+    return ends.groupBy("left", "node").agg(F.count(F.lit(1)).alias("degree"))
+
+
 @query("matched_random")
 def matched_random(spark, sf):
     _, _, t = sampled(spark, sf, "cand")

@@ -14,7 +14,7 @@ from pathloom.session import broadcast_if_small, materialize
 
 METRICS = ("nav", "rout", "search", "comm")
 MASK_QUANTILE = 0.75
-MAX_LEN = 5
+MAX_LEN = 20  # fixed value: the longest path that is looked for
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pathloom.plans.fixture import WITH_DAG, WITH_EDGE, WITH_PATH
 from pathloom.plans.registry import query
 from pathloom.session import materialize
 
-SAMPLE_K = 6  # ranks per cell in the sampling queries
+SAMPLE_K = 512  # fixed value: paths sampled per cell
 
 
 @query("edge_matrix", WITH_EDGE + """
@@ -185,7 +185,10 @@ def rank_sample(spark, sf):
         *G.CELL, F.col("rank").alias("rnk"), F.array_join("nodes", "|").alias("path_key"))
 
 
-@query("random_walk_candidates")
+# a cell with at most SAMPLE_K paths has all of them as candidates, walked or topped up
+@query("random_walk_candidates", WITH_PATH + """
+select seed, endpoint, L, path_key from path
+qualify count(*) over (partition by seed, endpoint, L) <= """ + str(SAMPLE_K))
 def random_walk_candidates(spark, sf):
     _, d = fx.dag(spark, sf)
     return G.random_walks(d, fx.MAX_LEN, SAMPLE_K, "walk").select(

@@ -23,7 +23,8 @@ from pathloom.plans.registry import query
 from pathloom.session import materialize
 
 REPEATS, FOLDS = 5, 5
-DRAWS_SIGN, DRAWS_BOOT, DRAWS_AUC, DRAWS_NULL = 2000, 400, 40, 200
+# fixed values: draws of the sign flips, the cluster and AUC bootstraps and the null sets
+DRAWS_SIGN, DRAWS_BOOT, DRAWS_AUC, DRAWS_NULL = 100_000, 10_000, 1_000, 10_000
 ARMS = ["C4", "C8R"]
 
 OOF_SQL = """
@@ -480,14 +481,14 @@ ep as (select f.sample_id, f.path_key, c.circuit, (select count(*) from
     (select unnest(f.nodes[1:-2]) u, unnest(f.nodes[2:]) v) z join nation a on a.n_nationkey = z.u
      join nation b on b.n_nationkey = z.v
      where a.n_regionkey = c.circuit and b.n_regionkey = c.circuit) n_edges from ps f, circ c),
-num as (select *, row_number() over (partition by sample_id, circuit order by path_key) - 1 idx,
-          count(*) over (partition by sample_id, circuit) psz from ep),
-pk as (select ec.circuit, ec.sample_id, draw, (('0x' || substr(sha256('enr|' || draw || '|' ||
-         ec.circuit || '|' || ec.path_key), 1, 13))::bigint % psz) idx
-       from ec join (select distinct sample_id, circuit, psz from num) using (sample_id, circuit),
-       range({DRAWS_NULL}) t(draw)),
-nul as (select pk.circuit, draw, sum(n_edges)::double / count(*) nul from pk
-        join num using (circuit, sample_id, idx) group by all),
+num as (select sample_id, path_key, row_number() over (partition by sample_id order by path_key) - 1 idx,
+          count(*) over (partition by sample_id) psz from (select distinct sample_id, path_key from ep)),
+pk as (select r.sample_id, draw, (('0x' || substr(sha256('enr|' || draw || '|' || r.path_key), 1, 13))::bigint
+         % psz) idx
+       from (select distinct sample_id, path_key from ec) r
+       join (select distinct sample_id, psz from num) using (sample_id), range({DRAWS_NULL}) t(draw)),
+nul as (select circuit, draw, avg(n_edges)::double nul from pk join num using (sample_id, idx)
+        join ep using (sample_id, path_key) group by all),
 ob as (select circuit, avg(n_edges)::double observed, count(*)::bigint n_paths from ec group by 1)
 select circuit, n_paths, round(observed, 9) observed, round(avg(nul), 6) null_mean,
   round(case when avg(nul) > 0 then observed / avg(nul) end, 6) ratio,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pathloom.operators import commetrics as M
@@ -13,7 +15,7 @@ from pathloom.plans.fixture import WITH_EDGE
 from pathloom.plans.registry import query
 from pathloom.session import materialize
 
-TERMS = 6  # Taylor terms in the communicability query and its oracle
+TERMS = 20  # Taylor terms; norms are at most 1, so the rest is below 1 / 21!
 
 
 def lengths(spark, sf):
@@ -49,10 +51,22 @@ def relax_sql(step: str) -> str:
 SP_SQL = WITH_EDGE + ", len as (select u, v, tract x from edge where mask), " + relax_sql("{x}")
 
 
-@query("routing_efficiency", SP_SQL + """
-select u, v, round(1.0 / dist, 6) x from best""")
+def whole(spark, sf, values, missing, diagonal):
+    nodes = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
+    return M.full_matrix(values, nodes, missing, diagonal).select("u", "v", F.round("x", 6).alias("x"))
+
+
+def whole_sql(values: str, missing: str, diagonal: str) -> str:
+    """Select of every cell of the node matrix from the rows (u, v, x) of ``values``."""
+    return f"""
+select a.n_nationkey u, b.n_nationkey v,
+       case when a.n_nationkey = b.n_nationkey then {diagonal} else coalesce(round(m.x, 6), {missing}) end x
+from nation a cross join nation b left join ({values}) m on m.u = a.n_nationkey and m.v = b.n_nationkey"""
+
+
+@query("routing_efficiency", SP_SQL + whole_sql("select u, v, 1.0 / dist x from best", "0.0::double", "0.0::double"))
 def routing_efficiency(spark, sf):
-    return M.routing_efficiency(lengths(spark, sf)).select("u", "v", F.round("x", 6).alias("x"))
+    return whole(spark, sf, M.routing_efficiency(lengths(spark, sf)), 0.0, 0.0)
 
 
 WEIGHT_SQL = WITH_EDGE + """,
@@ -62,11 +76,11 @@ len as (select * from wt), """ + relax_sql("(-ln({x}))")
 
 
 @query("search_information", WEIGHT_SQL + """,
-hop as (select u src, v dst, unnest(nodes[1:-2]) a, unnest(nodes[2:]) b from best)
-select src u, dst v, round(sum(-log2(p)), 6) x from hop join tr on tr.u = a and tr.v = b
-group by src, dst""")
+hop as (select u src, v dst, unnest(nodes[1:-2]) a, unnest(nodes[2:]) b from best)""" + whole_sql(
+    "select src u, dst v, sum(-log2(p)) x from hop join tr on tr.u = a and tr.v = b group by src, dst",
+    "'inf'::double", "null"))
 def search_information(spark, sf):
-    return M.search_information(weights(spark, sf)).select("u", "v", F.round("x", 6).alias("x"))
+    return whole(spark, sf, M.search_information(weights(spark, sf)), float("inf"), None)
 
 
 @query("navigation", "with recursive " + fx.EDGE_SQL + """,
@@ -78,14 +92,13 @@ walk as (
   select cur u, t, cur, cur last, 0.0::double len, 0 hops from nxt where cur <> t
   union all
   select w.u, w.t, b.n, w.cur, w.len + b.len, hops + 1
-  from walk w join nxt using (cur, t) where w.cur <> w.t and b.n <> w.last and hops < 100)
-select u, t v, round(1.0 / len, 6) x from walk where cur = t""")
+  from walk w join nxt using (cur, t) where w.cur <> w.t and b.n <> w.last and hops < 360)""" + whole_sql(
+    "select u, t v, 1.0 / len x from walk where cur = t", "0.0::double", "0.0::double"))
 def navigation(spark, sf):
     e = fx.edges(spark, sf)
     d = e.select("u", "v", F.col("lat").alias("x"))
     own = e.select("u").distinct().select("u", F.col("u").alias("v"), F.lit(0.0).alias("x"))
-    return M.navigation_efficiency(lengths(spark, sf), d.unionByName(own)).select(
-        "u", "v", F.round("x", 6).alias("x"))
+    return whole(spark, sf, M.navigation_efficiency(lengths(spark, sf), d.unionByName(own)), 0.0, 0.0)
 
 
 def _power_sql() -> str:
@@ -98,13 +111,12 @@ def _power_sql() -> str:
     return ", ".join(out)
 
 
-FACT = [1, 1, 2, 6, 24, 120, 720]
 
 
 @query("communicability", WITH_EDGE + """,
 wt as (select u, v, w::double / (select sum(w) from edge where mask) x from edge where mask), """
        + _power_sql() + ", al as (select k u, k v, 1.0 x from (select u k from wt union select v "
-       "from wt)" + "".join(f" union all select u, v, x / {FACT[k]} from p{k}"
+       "from wt)" + "".join(f" union all select u, v, x / {math.factorial(k)}.0 from p{k}"
                             for k in range(1, TERMS + 1))
        + ") select u, v, round(sum(x), 6) x from al group by u, v")
 def communicability(spark, sf):

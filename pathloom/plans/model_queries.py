@@ -15,7 +15,6 @@ from pathloom.plans.registry import query
 from pathloom.session import materialize
 
 FEATS = ["price", "n_lines", "discount", "late"]
-GRID = dict(alphas=(1e-3, 1e-2, 0.1, 1.0), l1_ratios=(0.1, 0.5, 1.0))
 DOC_FEATS = ["n_chars", "lines", "e_share", "is_en"]
 
 
@@ -33,7 +32,7 @@ def order_features(spark, sf):
         F.datediff("last", "o_orderdate").cast("double").alias("late"))
 
 
-def assignment(df, repeats=2):
+def assignment(df, repeats=5):
     sizes = materialize(df.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
     outer = Fo.grouped_folds(sizes, "grp", repeats, 5, "outer")
     return materialize(Mo.hashed_inner_folds(outer, "grp", 5, 5, "inner"))
@@ -42,7 +41,7 @@ def assignment(df, repeats=2):
 @query("elasticnet_cv")
 def elasticnet_cv(spark, sf):
     df = materialize(order_features(spark, sf))
-    f = Mo.elastic_net_cv(df, assignment(df), "grp", FEATS, "y", **GRID)
+    f = Mo.elastic_net_cv(df, assignment(df), "grp", FEATS, "y")
     return f.select("repeat", "outer_fold", "alpha", "l1_ratio", "n_train", "n_test",
                     F.round("inner_rmse", 6).alias("inner_rmse"), F.round("test_sse", 3).alias("test_sse"))
 
@@ -51,7 +50,7 @@ def elasticnet_cv(spark, sf):
 def elasticnet_oof_metrics(spark, sf):
     df = materialize(order_features(spark, sf))
     a = assignment(df)
-    fits = materialize(Mo.elastic_net_cv(df, a, "grp", FEATS, "y", **GRID))
+    fits = materialize(Mo.elastic_net_cv(df, a, "grp", FEATS, "y"))
     oof = Mo.predict_oof(df, a, fits, "sample_id", "grp", FEATS, "y")
     b = Me.metric_block(oof, ["repeat"])
     return b.select("repeat", "n", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "mae", "pearson")])
@@ -59,8 +58,8 @@ def elasticnet_oof_metrics(spark, sf):
 
 @query("fixed_hp_refit")
 def fixed_hp_refit(spark, sf):
-    df = materialize(order_features(spark, sf).na.drop(subset=FEATS))
-    a = assignment(df, 1)
+    df = materialize(order_features(spark, sf))
+    a = assignment(df)
     chosen = a.select("repeat", "outer_fold").distinct().select(
         "repeat", "outer_fold", F.lit(0.01).alias("alpha"), F.lit(0.5).alias("l1_ratio"))
     fits = materialize(Mo.fixed_fits(df, a, chosen, "grp", FEATS, "y"))
@@ -147,7 +146,7 @@ def logistic_cv(spark, sf):
 @query("feature_importance")
 def feature_importance(spark, sf):
     df = materialize(doc_features(spark, sf))
-    imp = Mo.forest_importance(df, "quality", DOC_FEATS, trees=100)
+    imp = Mo.forest_importance(df, "quality", DOC_FEATS, trees=500)
     return importance_shares(imp, "feature", "importance").select(
         "feature", "grp", F.round("share", 6).alias("share"))
 
@@ -155,7 +154,7 @@ def feature_importance(spark, sf):
 @query("per_length_models")
 def per_length_models(spark, sf):
     s = cq.subpaths(spark, sf)
-    f = Mo.per_length_fits(materialize(s), "length", "u", ["nav", "rout", "search", "comm"], "y", **GRID)
+    f = Mo.per_length_fits(materialize(s), "length", "u", ["nav", "rout", "search", "comm"], "y")
     return f.select("length", "n", "alpha", "l1_ratio", F.round("oof_r2", 6).alias("oof_r2"),
                     F.transform("coef", lambda c: F.round(c, 6)).alias("coef"),
                     F.transform("median_coef", lambda c: F.round(c, 6)).alias("median_coef"))
@@ -179,7 +178,7 @@ def cell_arms(spark, sf):
     order = G.gather(p.select(*CELL, "path_key").join(
         order.select("path_key", F.col("shuffled").alias("nodes")), "path_key"), e,
         [*CELL, "path_key"], list(fx.METRICS))
-    chosen = D.diverse_paths(p, CELL, keep=4)
+    chosen = D.diverse_paths(p, CELL)
     picked = G.gather(chosen, e, CELL, list(fx.METRICS))
     arms = {"C8R": p, "C8R_selected": picked, "control_order": order, "control_edge": edge}
     c4 = V.endpoint_block(p.select(*CELL).distinct(), e, fx.MAX_LEN)
@@ -201,12 +200,11 @@ def control_sweep(spark, sf):
     replicates the real arm's gain."""
     df, cols = cell_arms(spark, sf)
     sizes = materialize(df.groupBy("seed").agg(F.count(F.lit(1)).alias("size")))
-    outer = Fo.grouped_folds(sizes, "seed", 2, 5, "cells")
+    outer = Fo.grouped_folds(sizes, "seed", 5, 5, "cells")
     assign = materialize(Mo.hashed_inner_folds(outer, "seed", 5, 5, "cells-inner"))
     oof = None
     for arm, names in cols.items():
-        fits = Mo.elastic_net_cv(df, assign, "seed", names, "y", alphas=(1e-2, 0.1),
-                                 l1_ratios=(0.5, 1.0))
+        fits = Mo.elastic_net_cv(df, assign, "seed", names, "y")
         part = Mo.predict_oof(df, assign, fits, "sample_id", "seed", names, "y").withColumn(
             "arm", F.lit(arm))
         oof = part if oof is None else oof.unionByName(part)

@@ -245,11 +245,11 @@ select coalesce(case when n1 = n3 then 'REPEATED_ROI' when not m1 then 'SC_EDGE_
        when l2 is null or l2 <= 0 then 'NONSTRICT_TEMPORAL' when not m2 then 'SC_EDGE_ABSENT'
        when l3 is null or l3 <= l2 then 'NONSTRICT_TEMPORAL' end, 'accepted') reason,
        count(*)::bigint n
-from walk group by 1 order by n desc, reason limit 3""")
+from walk group by 1 order by n desc, reason limit 12""")
 def top_reject_reasons(spark, sf):
     r = screen_b5(spark, sf).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(
         F.count(F.lit(1)).alias("n"))
-    return r.orderBy(F.desc("n"), "reason").limit(3)
+    return r.orderBy(F.desc("n"), "reason").limit(12)  # fixed value: reasons of the report
 
 
 @query("relaxed_ladder", CUT_SQL + """,

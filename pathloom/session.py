@@ -60,10 +60,9 @@ def materialize(df: DataFrame) -> DataFrame:
 def is_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> bool:
     """True when ``df`` holds at most ``limit`` rows.
 
-    Reads partitions a few at a time and stops once the limit is passed, so the
-    test is cheap on a big table too; one row at most comes back.
+    Every partition stops at the limit and only a count reaches the driver.
     """
-    return not df.select(F.lit(1)).offset(limit).limit(1).collect()
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -226,13 +226,32 @@ def test_manova_and_pca_equal_numpy(spark):
 def test_ward_and_kmeans(spark):
     pts = [0.0, 0.1, 5.0, 5.2, 9.0]
     df = spark.createDataFrame([(i, [p]) for i, p in enumerate(pts)], "k int, v array<double>")
-    merges, coph = Q.ward(df, "k", "v")
-    assert [m[:2] for m in merges[:2]] == [(0, 1), (2, 3)] and 0.5 < coph <= 1
-    assert merges[0][2] == pytest.approx(0.1)
+    merges = sorted(Q.ward(df, "k", "v").collect(), key=lambda r: r["height"])
+    assert [(r["left_id"], r["right_id"]) for r in merges] == [(0, 1), (2, 3), (4, 6), (5, 7)]
+    want, x = [], {i: [p] for i, p in enumerate(pts)}
+    for step, r in enumerate(merges):  # Ward height from the clusters' means
+        a, b = x[r["left_id"]], x[r["right_id"]]
+        want.append((2 * len(a) * len(b) / (len(a) + len(b))) ** 0.5 * abs(np.mean(a) - np.mean(b)))
+        x[len(pts) + step] = a + b
+    assert [r["height"] for r in merges] == pytest.approx(want) and [r["size"] for r in merges] == [2, 2, 3, 5]
+    coph = {frozenset((i, j)): next(r["height"] for s, r in enumerate(merges) if {pts[i], pts[j]} <= set(x[len(pts) + s]))
+            for i in range(5) for j in range(i)}
+    r = np.corrcoef([abs(pts[i] - pts[j]) for i in range(5) for j in range(i)],
+                    [coph[frozenset((i, j))] for i in range(5) for j in range(i)])[0, 1]
+    assert merges[0]["cophenetic_r"] == pytest.approx(r)
     lab = {r["k"]: r["cluster"] for r in Q.kmeans_targets(df, "k", "v", restarts=40).collect()}
     assert lab[0] == lab[1] and lab[2] == lab[3] and len(set(lab.values())) == 3
 
 
+def test_kendall_with_ties(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.integers(0, 6)), float(rng.integers(0, 5))) for i in range(60)]
+    s = [(np.sign(a[1] - b[1]), np.sign(a[2] - b[2])) for i, a in enumerate(rows) for b in rows[:i]]
+    want = sum(p * q for p, q in s) / (sum(abs(p) for p, _ in s) * sum(abs(q) for _, q in s)) ** 0.5
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    assert Q.kendall(df, "k", "x", "y").first()["tau"] == pytest.approx(want)
+
+
 def test_nearest_grid_equals_brute_force(spark):
     from pathloom.operators import geometry as Geo
 

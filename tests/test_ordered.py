@@ -69,6 +69,13 @@ def test_exact_quantiles_beyond_the_sketch(spark, monkeypatch, bracket):
         assert r[n] == pytest.approx(np.percentile(v, 100 * q), abs=1e-12)
 
 
-def test_null_keys_form_no_group(spark, mode):
-    df = spark.createDataFrame([(None, 1.0), (1, 2.0), (1, 3.0)], "g int, v double")
-    assert O.row_position(df, ["g"], ["v"]).count() == 2
+def test_null_keys_are_a_group(spark, monkeypatch):
+    rows = [(None if i % 3 == 0 else i % 3, i, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, x double")
+    want = {}
+    for k, i, x in rows:
+        want[i] = sum(r[2] for r in rows if r[0] == k and r[1] <= i)
+    for small in (1000, 0):
+        monkeypatch.setattr(O, "SMALL", small)
+        got = O.scan(df, ["k"], ["i"], {"s": ("sum", F.col("x"))}).collect()
+        assert {r["i"]: r["s"] for r in got} == want
