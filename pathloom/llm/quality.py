@@ -17,6 +17,7 @@ SAMPLE_CHARS = 20_000  # of each of them
 WINDOW = 2048          # bytes compressed together
 DICTIONARY = 112_640   # bytes
 LEVEL = 3
+RIDGE = 0.1            # on the standardised features
 ACCEPT = 0.7
 
 
@@ -46,6 +47,7 @@ class SizeModel:
     weights: np.ndarray | None = None
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
+    reach: np.ndarray | None = None  # least and largest value of each size feature when fitted
     _ready: tuple | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -69,25 +71,40 @@ class SizeModel:
 
     def features(self, texts: list[str]) -> np.ndarray:
         """The normalised difference of the two sizes, and how far the good and no dictionary
-        compress, with their products."""
+        compress, with their products.  Values beyond those the calibration has seen (a text
+        that is in a dictionary itself, say) count as the nearest one seen."""
         n, g, b, p = np.maximum(np.array([self.sizes(t) for t in texts], float).reshape(-1, 4), 1).T
         x = np.c_[(b - g) / (b + g), np.log(g / n), np.log(p / n)]
+        if self.reach is None:
+            self.reach = np.stack([x.min(axis=0), x.max(axis=0)])
+        x = np.clip(x, *self.reach)
         return np.c_[x, x * x, x[:, [0, 0, 1]] * x[:, [1, 2, 2]]]
 
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 60) -> None:
-        """Weights of the logistic; rows are weighted so that the kinds have their shares."""
+    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 100) -> None:
+        """Weights of the logistic with a ridge; rows are weighted so that the kinds have their
+        shares.  Newton steps are halved until the penalised loss falls, so that kinds that
+        are told apart completely don't carry the weights away."""
+        self.reach = None
         x = self.features(texts)
         self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         x = np.c_[(x - self.centre) / self.scale, np.ones(len(x))]
         share = labels.mean()
         row = np.where(labels == 1, self.base / share, (1 - self.base) / (1 - share))
-        w = np.zeros(x.shape[1])
+
+        def loss(w):
+            z = x @ w
+            return row @ (np.logaddexp(0, z) - labels * z) + 0.5 * RIDGE * (w[:-1] @ w[:-1])
+
+        w, held = np.zeros(x.shape[1]), np.r_[np.ones(x.shape[1] - 1), 0.0] * RIDGE
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            bend = (x * (row * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-            step = np.linalg.solve(bend, x.T @ (row * (labels - p)) - 1e-3 * w)
-            w = w + step
-            if np.abs(step).max() < 1e-8:
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            bend = (x * (row * p * (1 - p))[:, None]).T @ x + np.diag(held + 1e-9)
+            step = np.linalg.solve(bend, x.T @ (row * (labels - p)) - held * w)
+            now, size = loss(w), 1.0
+            while size > 1e-6 and not loss(w + size * step) <= now:
+                size /= 2
+            w = w + size * step
+            if np.abs(size * step).max() < 1e-7:
                 break
         self.weights = w
 
@@ -99,7 +116,7 @@ class SizeModel:
             out = np.full(len(texts), self.base)
         else:
             x = (self.features(texts) - self.centre) / self.scale
-            out = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -30, 30)))
+            out = 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.weights, -500, 500)))
         return np.where([t == "" for t in texts], 0.0, out)
 
 

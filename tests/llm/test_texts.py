@@ -179,6 +179,16 @@ def test_quality_is_learned(spark):
     assert np.mean(good) >= 0.92 and np.mean(bad) <= 0.2  # some 40 bad texts to learn from
 
 
+def test_kinds_told_apart_completely_keep_finite_weights():
+    rng = random.Random(8)
+    good = [" ".join("".join(rng.choice("aeioulnrst") for _ in range(5)) for _ in range(120)) for _ in range(60)]
+    bad = [" ".join("".join(rng.choice("XQZ!#%") for _ in range(5)) for _ in range(120)) for _ in range(60)]
+    model = quality.SizeModel(quality._dictionary(good[::2]), quality._dictionary(bad[::2]), 0.8)
+    model.fit(bad[1::2] + good[1::2], np.repeat([0, 1], 30))
+    assert np.abs(model.weights).max() < 50
+    assert model.score(good).min() > 0.7 > 0.5 > model.score(bad).max()
+
+
 def test_quality_on_edge_cases(spark, edges, nothing):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     got = quality.classify(edges, labels).collect()
