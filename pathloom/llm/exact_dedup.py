@@ -11,7 +11,14 @@ from pathloom.llm.common import scratch_dir, table
 
 FEED_SCHEMA = "digest binary, doc_id long, file string, n_bytes long"
 BROADCAST_DIGESTS = 100_000  # some 5 MB; more digests than this are joined by a shuffle
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore."
+ON_DISK = {  # RocksDB, its memory bounded for an executor however many state partitions it holds
+    STATE + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE + "rocksdb.boundedMemoryUsage": "true",
+    STATE + "rocksdb.maxMemoryUsageMB": "256",
+    STATE + "rocksdb.writeBufferSizeMB": "8",
+    STATE + "rocksdb.blockCacheSizeMB": "8",
+}
 
 
 def digest(text="text"):
@@ -21,13 +28,14 @@ def digest(text="text"):
 @contextmanager
 def state_on_disk(spark: SparkSession):
     """The session's state store is RocksDB meanwhile."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in ON_DISK}
+    for k, v in ON_DISK.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class DedupState:
