@@ -241,6 +241,7 @@ def similarity_join(docs: DataFrame) -> DataFrame:
     named = sets.select("key", "rep", "copies").join(root.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("class_id")), "root").join(links, "key", "left")
+    named = written(named, "classes")  # so that a set with very many copies is split in the last join
     return sig.select("doc_id", "key").join(named, "key").select(
         "doc_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("copies").alias("n_copies"))
