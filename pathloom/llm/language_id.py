@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -22,7 +22,7 @@ EPOCHS, BATCH, RATE = 10, 64, 0.02
 AT_ONCE = 256       # windows scored together
 UNDETERMINED = "und"
 LEAST_SCORE = 0.5   # of a document that the pipeline keeps
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -136,8 +136,17 @@ def train(docs: DataFrame) -> ByteNetwork | None:
     their id, ``SAMPLE_WINDOWS`` evenly spread windows of each.
     """
     own = docs.where(f"doc_id is not null and lang is not null and text is not null and not ({HOLD_OUT})")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = own.select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    own = own.select("doc_id", "lang", place.alias("place"))
+    sizes = own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # an output of the network each
+    if not sizes:
+        return None
+    # the least hashes lie below a bound that some 4 * SAMPLE documents of a language reach, so
+    # that the ranking never gathers a whole language
+    bound = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], (1 << 30) * 4 * SAMPLE // r["n"] + 1)])
+    rank = Window.partitionBy("lang").orderBy("place", "doc_id")
+    picked = own.where(F.col("place") <= F.element_at(bound, F.col("lang"))).withColumn(
+        "rank", F.row_number().over(rank)).where(F.col("rank") <= SAMPLE)
     picked = picked.select("doc_id", "lang").distinct()
     if picked.count() <= 200_000:
         picked = F.broadcast(picked)
