@@ -10,9 +10,12 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 PLAIN_BREAK = re.compile(r"(?<=\S)(?= )")
 SPACE_RUN = re.compile(r"\s ")
-MEMORY = 400_000  # pieces a Python worker remembers, some 60 MB
+MEMORY = 400_000  # pieces a Python worker remembers, some 70 MB
+TOGETHER = 200    # new pieces encoded as one string
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,7 +32,8 @@ def split_pieces(text: str) -> list[str]:
 
 
 class PieceEncoder:
-    """Ids of texts by the ``tokenizers`` library, four bytes each, little-endian."""
+    """Ids of texts by a byte-level vocabulary of the ``tokenizers`` library, four bytes each,
+    little-endian."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,21 +41,44 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()  # a character of a byte-level token is a byte
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.memory = memory
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; special tokens in a text are ordinary characters."""
         split = [split_pieces(t) for t in texts]
-        fresh = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(fresh) > self.memory:
-            self.known = {}
-            fresh = list(set().union(*split))
-        for piece, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[piece] = array("I", e.ids).tobytes()
+        here = set().union(*split)
+        fresh = list(here.difference(self.known))
+        if len(self.known) + len(fresh) > self.memory:  # what these texts use stays
+            self.known = {p: self.known[p] for p in here.intersection(self.known)}
+        self._learn(fresh)
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Pieces that start with one space and end visibly may stand in a row and still be
+        encoded as each by itself; the lengths of the tokens tell them apart."""
+        plain, odd = [], []
+        for p in fresh:
+            (plain if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() else odd).append(p)
+        for piece, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[piece] = array("I", e.ids).tobytes()
+        rows = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.n_bytes[ids])
+            wanted = np.cumsum([len(p.encode()) for p in row])
+            at = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[at], wanted):
+                raise ValueError("a token runs across two pieces; the vocabulary isn't byte-level")
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(row, (4 * (at + 1)).tolist()):
+                self.known[p] = raw[start:end]
+                start = end
+
 
 _encoders: dict[str, PieceEncoder] = {}
 
