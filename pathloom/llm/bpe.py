@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pathloom.llm.pieces import split_pieces, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_CHARS = 32_000_000  # text of a block of neighbouring documents, at most (one document at least)
+AT_ONCE = 2_000_000       # characters whose pieces are looked up together
 CHUNK = 200_000           # words encoded before their ids are sent off
 MASK = (1 << 61) - 1
 
@@ -65,16 +67,37 @@ def _mark(word: str, code: int) -> int:
     return (zlib.crc32(word.encode()) + 1) * (code + 1) & MASK
 
 
-def _blocks(batches):
+def _words_of(piece: str, find) -> list[str]:
+    """Pre-tokens of a piece; the two commonest shapes need no pattern."""
+    if piece[:1] == " ":
+        if piece[1:].isalpha():
+            return [piece]
+        if piece[-1] in ".," and piece[1:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+    return find(piece)
+
+
+def _blocks(batches, with_codes: bool):
     """Pre-tokens with positions, block by block: (block, words in order of first use, check
-    sum, doc ids, codes of each document)."""
+    sum, doc ids, codes of each document if asked for)."""
     from pyspark import TaskContext
 
     find = pattern().findall
     task, made = TaskContext.get().partitionId(), 0
-    index, pieces, ids, codes, chars = {}, {}, [], [], 0
+    index, pieces, ids, codes, held, chars, waiting = {}, {}, [], [], [], 0, 0
+
+    def take():
+        """Learn the pieces of the held documents in their order, and code the documents."""
+        nonlocal held, waiting
+        for p in dict.fromkeys(chain.from_iterable(held)):
+            if p not in pieces:
+                pieces[p] = array("I", [index.setdefault(w, len(index)) for w in _words_of(p, find)]).tobytes()
+        if with_codes:
+            codes.extend(b"".join(map(pieces.__getitem__, split)) for split in held)
+        held, waiting = [], 0
 
     def close():
+        take()
         check = 0
         for word, code in index.items():
             check = (check + _mark(word, code)) & MASK
@@ -86,13 +109,12 @@ def _blocks(batches):
                 yield close()
                 made += 1
                 index, pieces, ids, codes, chars = {}, {}, [], [], 0
-            split = split_pieces(text) if text else []
-            for p in split:
-                if p not in pieces:
-                    pieces[p] = array("I", [index.setdefault(w, len(index)) for w in find(p)]).tobytes()
             ids.append(doc)
-            codes.append(b"".join(map(pieces.__getitem__, split)))
+            held.append(split_pieces(text) if text else [])
             chars += len(text)
+            waiting += len(text)
+            if waiting > AT_ONCE:
+                take()
     if ids:
         yield close()
 
@@ -100,7 +122,7 @@ def _blocks(batches):
 def block_words(docs: DataFrame) -> DataFrame:
     """(block, code, word): the distinct words of each block."""
     def run(batches):
-        for block, words, _, _, _ in _blocks(batches):
+        for block, words, _, _, _ in _blocks(batches, False):
             for at in range(0, len(words), CHUNK):
                 part = words[at:at + CHUNK]
                 yield pd.DataFrame({"block": np.int64(block), "code": np.arange(at, at + len(part), dtype=np.int32),
@@ -111,7 +133,7 @@ def block_words(docs: DataFrame) -> DataFrame:
 def block_documents(docs: DataFrame) -> DataFrame:
     """(block, words, check, doc_id, codes): each document as the codes of its pre-tokens in order."""
     def run(batches):
-        for block, words, check, ids, codes in _blocks(batches):
+        for block, words, check, ids, codes in _blocks(batches, True):
             for at in range(0, len(ids), 500):
                 part = codes[at:at + 500]
                 yield pd.DataFrame({"block": np.int64(block), "words": np.int64(len(words)), "check": np.int64(check),

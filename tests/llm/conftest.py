@@ -15,7 +15,7 @@ def edge_rows():
             (5, "one two three four five six seven"), (6, "repeated whole row here\nwith two lines"),
             (6, "repeated whole row here\nwith two lines"), (7, "one id"), (7, "two texts"), (None, "no id at all"),
             (9, "   \n\n  "), (10, "!!! ??? ###"), (11, "Größe\u3000naïve\u00a0\x1c ends  "), (12, "a"), (13, "x" * 5000),
-            (14, "<|endoftext|> is 'tis it's\t\ttabs")]
+            (14, "<|endoftext|> is 'tis it's\t\ttabs"), (15, " leading space, and . dots ,, end ")]
 
 
 @pytest.fixture(scope="session")
