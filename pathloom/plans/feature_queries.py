@@ -326,7 +326,7 @@ def latency_null(spark, sf):
     return N.latency_permutation(G.onset_table(fx.edges(spark, sf)), 13, "lat")
 
 
-@query("latency_null_search", fx.WITH_DAG + """,
+@query("latency_null_search", "with recursive " + fx.DAG_SQL + f""",
 ins as (select * from onset where (node < 13) = (seed < 13) and node <> seed),
 a as (select seed, node, row_number() over (partition by seed order by node) i from ins),
 b as (select seed, lat, row_number() over (partition by seed
@@ -335,16 +335,19 @@ o2 as (select a.seed, a.node, b.lat from a join b using (seed, i)
        union all select seed, node, lat from onset where node = seed),
 d2 as (select x.seed, e.u, e.v from o2 x join edge e on e.u = x.node and e.mask
        join o2 y on y.seed = x.seed and y.node = e.v where y.lat > x.lat),
-p1 as (select seed, v from d2 where u = seed),
-p2 as (select p1.seed, d2.v from p1 join d2 on d2.seed = p1.seed and d2.u = p1.v)
-select 1 L, count(*)::bigint n_paths from p1 union all select 2, count(*)::bigint from p2""")
+walk2 as (
+  select seed, v node, 1 L from d2 where u = seed
+  union all
+  select k.seed, d.v, k.L + 1 from walk2 k join d2 d on d.seed = k.seed and d.u = k.node
+  where k.L < {fx.MAX_LEN})
+select L, count(*)::bigint n_paths from walk2 group by L""")
 def latency_null_search(spark, sf):
     # the search reruns on the permuted latencies
     e = fx.edges(spark, sf)
     on = materialize(G.onset_table(e))
     null = N.latency_permutation(on, 13, "lat").unionByName(on.where("node = seed"))
     d = materialize(G.seed_dag(materialize(null), e))
-    return G.count_paths(d, 2).groupBy("L").agg(F.sum("cnt").alias("n_paths"))
+    return G.count_paths(d, fx.MAX_LEN).groupBy("L").agg(F.sum("cnt").alias("n_paths"))
 
 
 @query("sc_rewire")
