@@ -15,6 +15,10 @@ from pathloom.session import broadcast_if_small, materialize
 
 POOL_LIMIT = 16_384  # paths one cell may bring to the greedy match
 ORDER_TRIES = 20  # fixed value: reorderings tried before a path keeps its order
+# fixed values of the reference: tries of a cell's walks, at least and for each walk looked for
+MIN_WALK_TRIES, WALK_TRIES = 20_000, 200
+WALK_BLOCK = 64  # tries dealt out together, and tries of the first round
+MAX_PARTS = 2_000
 
 
 def _hash_order(items: Column, tag: str, *key: Column) -> Column:
@@ -159,23 +163,21 @@ def match_greedy(target: DataFrame, pool: DataFrame, cell: list[str], value: str
     return target.groupBy(*cell).cogroup(pool.groupBy(*cell)).applyInPandas(go, schema)
 
 
-def matched_walks(cells: DataFrame, edges: DataFrame, half: int, tag: str, tries: int
-                  ) -> DataFrame:
-    """Self-avoiding walks of the cell's length whose total length is near the median.
-
-    ``cells`` has (seed, endpoint, L, med_len, n_paths).  All hashed tries of all
-    cells advance together, one join per hop; per cell the first ``n_paths``
-    walks within 25 percent of ``med_len`` stay (fewer if the tries run out).
-    """
+def _band_walks(todo: DataFrame, hop: DataFrame, half: int, tag: str, start: int, end: int
+                ) -> DataFrame:
+    """The tries ``start`` .. ``end`` - 1 (below each cell's ``bound``) that end inside the band."""
     cell = ["seed", "endpoint", "L"]
-    max_len = cells.agg(F.max("L").alias("m")).first()["m"] or 0
-    hop = broadcast_if_small(edges.where("mask").groupBy("u").agg(
-        F.array_sort(F.collect_list(F.struct("v", "tract"))).alias("next")))
-    cur = cells.select(
+    last = F.least(F.col("bound"), F.lit(end)) - 1
+    sums = todo.agg(F.max("L").alias("m"), F.sum(F.ceil((last - start + 1) / WALK_BLOCK)).alias("b")).first()
+    # whole blocks of tries are dealt out, so that a cell's tries spread over tasks
+    parts = max(todo.sparkSession.sparkContext.defaultParallelism, min(int(sums["b"]) // 128, MAX_PARTS))
+    blocks = todo.select(*cell, "med_len", "n_paths", last.alias("last"), F.explode(
+        F.sequence(F.lit(start), last, F.lit(WALK_BLOCK))).alias("b")).repartition(parts)
+    cur = blocks.select(
         *cell, "med_len", "n_paths",
-        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"),
+        F.explode(F.sequence("b", F.least(F.col("b") + WALK_BLOCK - 1, F.col("last")))).alias("t"),
         F.array("seed").alias("nodes"), F.lit(0.0).alias("len"), F.col("seed").alias("u"))
-    for i in range(max_len):
+    for i in range(sums["m"]):
         free = F.filter("next", lambda e: ((e["v"] < half) == (F.col("seed") < half))
                         & ~F.array_contains("nodes", e["v"]))
         cur = cur.join(hop, "u", "left").withColumn("free", F.coalesce(
@@ -192,10 +194,52 @@ def matched_walks(cells: DataFrame, edges: DataFrame, half: int, tag: str, tries
         if (i + 1) % 4 == 0:
             cur = materialize(cur)
     ok = cur.where(F.col("len").between(0.75 * F.col("med_len"), 1.25 * F.col("med_len")))
+    return ok.select(*cell, "n_paths", "t", "nodes", "len")
+
+
+def matched_walks(cells: DataFrame, edges: DataFrame, half: int, tag: str,
+                  tries: int | None = None) -> DataFrame:
+    """Self-avoiding walks of the cell's length whose total length is near the median.
+
+    ``cells`` has (seed, endpoint, L, med_len, n_paths).  Per cell the first ``n_paths``
+    hashed tries within 25 percent of ``med_len`` stay.  Tries are made in growing rounds,
+    one join per hop, for the cells still short, until none is or the bound is reached:
+    ``tries`` a cell, by default the reference's max(20000, 200 * n_paths).  A cell may
+    still end short (see ``with_shortfall``).
+    """
+    cell = ["seed", "endpoint", "L"]
+    hop = broadcast_if_small(edges.where("mask").groupBy("u").agg(
+        F.array_sort(F.collect_list(F.struct("v", "tract"))).alias("next")))
+    bound = F.lit(tries) if tries is not None else F.greatest(
+        F.lit(MIN_WALK_TRIES), F.col("n_paths") * WALK_TRIES)
+    todo = cells.select(*cell, "med_len", "n_paths", bound.cast("int").alias("bound"),
+                        F.lit(0).cast("bigint").alias("found")).where("n_paths > 0 and bound > 0")
+    out, start, end = None, 0, WALK_BLOCK
+    while not todo.isEmpty():
+        new = materialize(_band_walks(todo, hop, half, tag, start, end))
+        out = new if out is None else out.unionByName(new)
+        n = new.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+        todo = materialize(todo.join(n, cell, "left").withColumn(
+            "found", F.col("found") + F.coalesce("n", F.lit(0))).drop("n").where(
+            (F.col("found") < F.col("n_paths")) & (F.col("bound") > end)))
+        start, end = end, end * 8
+    if out is None:
+        return cells.limit(0).select(*cell, F.lit(0).alias("t"), F.array("seed").alias("nodes"),
+                                     F.lit(0.0).alias("len"))
     w = Window.partitionBy(*cell).orderBy("t")
-    return (ok.withColumn("i", F.row_number().over(w)).where("i <= n_paths")
+    return (out.withColumn("i", F.row_number().over(w)).where("i <= n_paths")
             .select(*cell, "t", "nodes", "len"))
 
 
+def with_shortfall(cells: DataFrame, walks: DataFrame) -> DataFrame:
+    """``walks`` with how many of its cell's ``n_paths`` were not found; a cell without a walk
+    has one row with NULL in the other columns."""
+    cell = ["seed", "endpoint", "L"]
+    n = walks.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    short = cells.join(n, cell, "left").select(
+        *cell, (F.col("n_paths") - F.coalesce("n", F.lit(0))).alias("shortfall"))
+    return short.join(walks, cell, "left")
+
+
 def total_of(a: str) -> Column:
     return arr_sum(a)

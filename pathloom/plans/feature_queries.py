@@ -381,5 +381,8 @@ def matched_random_walks(spark, sf):
     lens = materialize(p.select(*CELL, arr_sum("tract").alias("len")))
     med = exact_quantiles(lens, CELL, "len", {"med_len": 0.5})
     cells = med.join(lens.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_paths")), CELL)
-    return N.matched_walks(materialize(cells), e, 13, "mrw", tries=40).select(
-        *CELL, "t", F.array_join("nodes", "|").alias("path_key"), F.round("len", 6).alias("len"))
+    cells = materialize(cells)
+    walks = materialize(N.matched_walks(cells, e, 13, "mrw"))
+    return N.with_shortfall(cells, walks).select(
+        *CELL, "t", F.array_join("nodes", "|").alias("path_key"), F.round("len", 6).alias("len"),
+        "shortfall")
