@@ -11,11 +11,13 @@ from pathloom.operators import diversity as D
 from pathloom.operators import features as V
 from pathloom.operators import graph as G
 from pathloom.operators import nulls as N
+from pathloom.operators import screens as S
 from pathloom.operators.ordered import exact_quantiles
 from pathloom.plans import fixture as fx
 from pathloom.plans.fixture import WITH_EDGE, WITH_PATH
 from pathloom.plans.graph_queries import SAMPLE_K, SAMPLE_SQL
 from pathloom.plans.registry import query
+from pathloom.plans.screen_queries import ATTR_SQL, screened_s10
 from pathloom.session import materialize
 
 CELL = G.CELL
@@ -186,15 +188,15 @@ def mode_shares(spark, sf):
     return V.mode_shares(p, CELL)
 
 
-@query("coverage", WITH_PATH + """
-select seed, count(distinct endpoint) filter (L >= 3)::bigint n_kept,
+@query("coverage", ATTR_SQL + """
+select seed, count(distinct endpoint) filter (in_support)::bigint n_kept,
   count(distinct endpoint)::bigint n_all,
-  count(distinct endpoint) filter (L >= 3)::double / count(distinct endpoint) coverage
-from path group by seed""")
+  count(distinct endpoint) filter (in_support)::double / count(distinct endpoint) coverage
+from att2 group by seed""")
 def coverage(spark, sf):
-    _, d = fx.dag(spark, sf)
-    cells = materialize(G.count_paths(d, fx.MAX_LEN).select(*CELL))
-    return V.coverage(cells.where("L >= 3"), cells)
+    p, _ = screened_s10(spark, sf)
+    cells = materialize(S.attrition(p, CELL).select(*CELL, "in_support"))
+    return V.coverage(cells.where("in_support"), cells)
 
 
 @query("confounder_block", WITH_PATH + ", c as (select seed, endpoint, L, count(*) n from path "
@@ -261,7 +263,7 @@ tr as (select path_key, nodes, r, f, t,
    [nodes[1]] || list_transform(list_sort(list_transform(nodes[2:-2],
       lambda x: sha256('fold|' || r || '|' || f || '|' || path_key || '|' || t || '|' || x)
         || '#' || x)), lambda s: split_part(s, '#', 2)::int) || [nodes[-1]] cand
-   from fs, range(2) rr(r), range(2) ff(f), range(20) q(t) where L > 2),
+   from fs, range(5) rr(r), range(5) ff(f), range(20) q(t) where L > 2),
 ok as (select path_key, r, f, t, cand from tr where cand <> nodes
    and not exists (select 1 from (select unnest(cand[1:-2]) a, unnest(cand[2:]) b) z
       left join edge e on e.u = z.a and e.v = z.b and e.mask where e.u is null)),
@@ -274,8 +276,8 @@ def order_shuffle_by_fold(spark, sf):
     e, d = fx.dag(spark, sf)
     p = G.sampled_paths(d, fx.MAX_LEN, SAMPLE_K, "cand")
     p = p.select("nodes", F.array_join("nodes", "|").alias("pk"),
-                 F.explode(F.expr("sequence(0, 3)")).alias("i"))
-    r, f = F.floor(F.col("i") / 2).cast("int"), (F.col("i") % 2).cast("int")
+                 F.explode(F.sequence(F.lit(0), F.lit(fx.REPEATS * fx.FOLDS - 1))).alias("i"))
+    r, f = F.floor(F.col("i") / fx.FOLDS).cast("int"), (F.col("i") % fx.FOLDS).cast("int")
     p = materialize(p.select("nodes", F.concat_ws("|", r, f, "pk").alias("path_key")))
     s = N.order_shuffle(p, e.where("mask"), "path_key", "fold").where("kind = 'shuffled'")
     part = F.split("path_key", r"\|")

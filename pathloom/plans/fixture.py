@@ -15,6 +15,7 @@ from pathloom.session import broadcast_if_small, materialize
 METRICS = ("nav", "rout", "search", "comm")
 MASK_QUANTILE = 0.75
 MAX_LEN = 20  # fixed value: the longest path that is looked for
+REPEATS, FOLDS = 5, 5  # fixed values: the protocol of the cross-validations
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pathloom.plans.feature_queries import FEAT_SQL, sample_sql, sampled
 from pathloom.plans.registry import query
 from pathloom.session import materialize
 
-REPEATS, FOLDS = 5, 5
+REPEATS, FOLDS = fx.REPEATS, fx.FOLDS
 # fixed values: draws of the sign flips, the cluster and AUC bootstraps and the null sets
 DRAWS_SIGN, DRAWS_BOOT, DRAWS_AUC, DRAWS_NULL = 100_000, 10_000, 1_000, 10_000
 ARMS = ["C4", "C8R"]
@@ -201,10 +201,10 @@ def completion_checks(spark, sf):
 
 # ---- folds ----------------------------------------------------------------------
 
-FOLD_SQL = """with recursive g as (
+FOLD_SQL = f"""with recursive g as (
   select o_custkey grp, count(*)::bigint size from orders group by 1),
 o as (select r::int repeat, grp, size, row_number() over (partition by r
-        order by size desc, sha256('fold|' || r || '|' || grp), grp) i from g, range(2) t(r)),
+        order by size desc, sha256('fold|' || r || '|' || grp), grp) i from g, range({REPEATS}) t(r)),
 st as (
   select repeat, 1 i, 0 fold, grp, [size, 0, 0, 0, 0]::bigint[] loads from o where i = 1
   union all
@@ -219,7 +219,7 @@ select repeat, grp, fold::int test_fold from st""")
 def fold_manifest(spark, sf):
     g = fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("grp")).agg(
         F.count(F.lit(1)).alias("size"))
-    return Fo.grouped_folds(g, "grp", 2, 5)
+    return Fo.grouped_folds(g, "grp", REPEATS, FOLDS)
 
 
 @query("fold_sizes", FOLD_SQL + """
@@ -228,7 +228,7 @@ from st join g using (grp) group by all""")
 def fold_sizes(spark, sf):
     g = materialize(fx.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("grp")).agg(
         F.count(F.lit(1)).alias("size")))
-    return Fo.grouped_folds(g, "grp", 2, 5).join(g, "grp").groupBy("repeat", "test_fold").agg(
+    return Fo.grouped_folds(g, "grp", REPEATS, FOLDS).join(g, "grp").groupBy("repeat", "test_fold").agg(
         F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_rows"))
 
 

@@ -72,7 +72,7 @@ with recursive """ + """g as (
   select o_custkey grp, count(*)::bigint size from (select distinct l_orderkey from lineitem)
   join orders on o_orderkey = l_orderkey group by 1),
 o as (select r::int repeat, grp, size, row_number() over (partition by r
-        order by size desc, sha256('outer|' || r || '|' || grp), grp) i from g, range(1) t(r)),
+        order by size desc, sha256('outer|' || r || '|' || grp), grp) i from g, range(5) t(r)),
 st as (
   select repeat, 1 i, 0 fold, grp, [size, 0, 0, 0, 0]::bigint[] loads from o where i = 1
   union all
@@ -82,15 +82,15 @@ st as (
         from st s join o on o.repeat = s.repeat and o.i = s.i + 1)),
 x as (select o_custkey grp, o_totalprice / 1000.0 price from orders
       where o_orderstatus <> 'P' and o_orderkey in (select l_orderkey from lineitem))
-select f::int outer_fold, count(*)::bigint n, round(quantile_cont(price, 0.5), 6) median_price
-from x join st using (grp), range(5) t(f) where fold <> f group by f""")
+select repeat, f::int outer_fold, count(*)::bigint n, round(quantile_cont(price, 0.5), 6) median_price
+from x join st using (grp), range(5) t(f) where fold <> f group by repeat, f""")
 def train_medians(spark, sf):
     df = materialize(order_features(spark, sf).select("grp", "price"))
-    a = assignment(df, 1)
+    a = assignment(df)
     m = Mo.fold_medians(df, a, "grp", ["price"], False)
-    n = df.where("price is not null").join(a.where("inner >= 0"), "grp").groupBy("outer_fold").agg(
+    n = df.where("price is not null").join(a.where("inner >= 0"), "grp").groupBy("repeat", "outer_fold").agg(
         F.count(F.lit(1)).alias("n"))
-    return m.join(n, "outer_fold").select("outer_fold", "n", F.round("price", 6).alias("median_price"))
+    return m.join(n, ["repeat", "outer_fold"]).select("repeat", "outer_fold", "n", F.round("price", 6).alias("median_price"))
 
 
 # ---- documents -----------------------------------------------------------------------------------

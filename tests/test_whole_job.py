@@ -38,3 +38,37 @@ def test_latency_null_search_walks_all_lengths(spark):
     want = {L: n for L, n in counts.items() if n}
     got = {r["L"]: r["n_paths"] for r in load_all()[0]["latency_null_search"](spark, SF).collect()}
     assert got == want and max(got) > 2
+
+
+def test_folds_of_all_repeats(spark):
+    queries = load_all()[0]
+    sizes = {r["o_custkey"]: r["count"] for r in spark.read.parquet(f"{SF}/orders.parquet").groupBy(
+        "o_custkey").count().collect()}
+    want = set()
+    for repeat in range(5):
+        load = [0] * 5
+        for g in sorted(sizes, key=lambda g: (-sizes[g], sha("fold", repeat, g), g)):
+            fold = load.index(min(load))
+            load[fold] += sizes[g]
+            want.add((repeat, g, fold))
+    assert {tuple(r) for r in queries["fold_manifest"](spark, SF).collect()} == want
+    every = {(r, f) for r in range(5) for f in range(5)}
+    for name, fold in (("fold_sizes", "test_fold"), ("train_medians", "outer_fold")):
+        rows = queries[name](spark, SF).select("repeat", fold).collect()
+        assert sorted(map(tuple, rows)) == sorted(every)
+    assert {r["repeat"] for r in queries["fold_size_summary"](spark, SF).collect()} == set(range(5))
+
+
+def test_order_shuffles_of_all_folds(spark):
+    rows = load_all()[0]["order_shuffle_by_fold"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r["repeat"], r["fold"]) for r in rows} == {(r, f) for r in range(5) for f in range(5)}
+
+
+def test_coverage_counts_supported_cells(spark):
+    queries, every, kept = load_all()[0], defaultdict(set), defaultdict(set)
+    for r in queries["support_rule"](spark, "/root/testdata/sf0.01").collect():
+        every[r["seed"]].add(r["endpoint"])
+        if r["in_support"]:
+            kept[r["seed"]].add(r["endpoint"])
+    got = {r["seed"]: (r["n_kept"], r["n_all"]) for r in queries["coverage"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == {s: (len(kept[s]), len(v)) for s, v in every.items()} and any(map(len, kept.values()))
