@@ -14,6 +14,8 @@ from pathloom.operators.metrics import r2_from_sums, sufficient_stats
 from pathloom.operators.ordered import exact_quantiles, row_position, scan, value_ranks
 from pathloom.session import broadcast_if_small, materialize, side_table
 
+TASK_PICKS = 2_000_000  # picks that a task of the mean-difference bootstrap makes
+
 BITS = 256  # signs served by one SHA-256
 
 
@@ -262,7 +264,17 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 def mean_difference_bootstrap(df: DataFrame, key: str, label: str, value: str, draws: int, tag: str
                               ) -> DataFrame:
     """(draw, delta): mean of class 1 minus mean of class 0 over stratified resamples."""
-    m = resample_counts(df, key, label, draws, tag).join(df.select(key, label, value), key)
-    w = lambda c: F.when(F.col(label) == c, F.col("m"))
-    mean = lambda c: F.sum(w(c) * F.col(value)) / F.sum(w(c))
-    return m.groupBy("draw").agg((mean(1) - mean(0)).alias("delta"))
+    placed = materialize(row_position(df.select(key, label, value), [label], [key]).withColumn(
+        "idx", F.col("pos") - 1).select(label, "idx", value))
+    n = placed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism,
+                placed.count() * draws // TASK_PICKS)
+    slots = placed.drop(value).join(side_table(n), label).repartition(parts).withColumn(
+        "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picks = slots.select("draw", label, hash_mod(
+        F.col("n"), tag, F.col("draw"), F.col(label), F.col("idx")).alias("idx"))
+    # the values meet the picks in the task that makes them: only sums by draw are shuffled
+    got = picks.join(broadcast_if_small(placed), [label, "idx"])
+    w = lambda c, x: F.sum(F.when(F.col(label) == c, x))
+    mean = lambda c: w(c, F.col(value)) / w(c, F.lit(1))
+    return got.groupBy("draw").agg((mean(1) - mean(0)).alias("delta"))

@@ -344,6 +344,7 @@ def target_values(spark, sf):
         F.round("f1", 9).alias("x")))
 
 
+DRAWS_LABEL = 10_000  # fixed value: draws of the label permutation
 CLS_SQL = EMB_SQL + """,
 tv as (select label, case when label <= 2 then 0 when label <= 4 then 1 else 2 end cls, round(f1, 9) x
        from mv where label <> 0)"""
@@ -368,19 +369,19 @@ def exact_labelings(spark, sf):
     return t.withColumn("stat_obs", F.round("stat_obs", 6))
 
 
-@query("random_label_permutation", CLS_SQL + """,
+@query("random_label_permutation", CLS_SQL + f""",
 sp as (select cls c, row_number() over (order by label) i from tv),
 dl as (select draw, x, row_number() over (partition by draw order by
-         sha256('perm|' || draw || '|' || label), label) i from tv, range(200) t(draw)),
+         sha256('perm|' || draw || '|' || label), label) i from tv, range({DRAWS_LABEL}) t(draw)),
 g as (select draw, c, count(*) n, sum(x) s, sum(x*x) q from dl join sp using (i) group by all),
 nf as (select draw, ((sum(s*s/n) - sum(s)*sum(s)/sum(n)) / 2) / (sum(q - s*s/n) / (sum(n) - 3)) f
        from g group by draw),
 og as (select cls, count(*) n, sum(x) s, sum(x*x) q from tv group by 1),
 ob as (select ((sum(s*s/n) - sum(s)*sum(s)/sum(n)) / 2) / (sum(q - s*s/n) / (sum(n) - 3)) f from og)
 select round(min(ob.f), 6) observed, round(avg(nf.f), 6) null_mean, round(stddev_pop(nf.f), 6) null_sd,
-  (count(*) filter (round(nf.f, 9) >= round(ob.f, 9)) + 1)::double / 201 p from nf, ob""")
+  (count(*) filter (round(nf.f, 9) >= round(ob.f, 9)) + 1)::double / {DRAWS_LABEL + 1} p from nf, ob""")
 def random_label_permutation(spark, sf):
-    r = Q.random_label_test(target_values(spark, sf), "label", "cls", "x", 200, "perm")
+    r = Q.random_label_test(target_values(spark, sf), "label", "cls", "x", DRAWS_LABEL, "perm")
     return r.select("p", *[F.round(c, 6).alias(c) for c in ("observed", "null_mean", "null_sd")])
 
 

@@ -25,6 +25,7 @@ from pathloom.session import materialize
 REPEATS, FOLDS = fx.REPEATS, fx.FOLDS
 # fixed values: draws of the sign flips, the cluster and AUC bootstraps and the null sets
 DRAWS_SIGN, DRAWS_BOOT, DRAWS_AUC, DRAWS_NULL = 100_000, 10_000, 1_000, 10_000
+DRAWS_MEAN = 10_000  # of the mean-difference bootstrap
 ARMS = ["C4", "C8R"]
 
 OOF_SQL = """
@@ -551,13 +552,13 @@ def deterministic_shuffle(spark, sf):
     return row_position(o, [], ["h", "o_orderkey"]).select("o_orderkey", "pos")
 
 
-@query("mean_difference_bootstrap", """
+@query("mean_difference_bootstrap", f"""
 with v as (select event_id, (event_type = 'click')::int y, round(value * 100) x from events
            where event_type in ('click', 'view')),
 ix as (select *, row_number() over (partition by y order by event_id) - 1 idx,
          count(*) over (partition by y) n from v),
 pk as (select draw, y, (('0x' || substr(sha256('md|' || draw || '|' || y || '|' || idx), 1, 13))::bigint
-        % n) idx from ix, range(30) t(draw))
+        % n) idx from ix, range({DRAWS_MEAN}) t(draw))
 select draw, round(sum(x) filter (y = 1) / count(*) filter (y = 1)
   - sum(x) filter (y = 0) / count(*) filter (y = 0), 6) delta
 from pk join ix using (y, idx) group by draw""")
@@ -565,5 +566,5 @@ def mean_difference_bootstrap(spark, sf):
     ev = fx.table(spark, sf, "events").where(F.col("event_type").isin("click", "view")).select(
         "event_id", (F.col("event_type") == "click").cast("int").alias("y"),
         F.round(F.col("value") * 100).alias("x"))
-    return I.mean_difference_bootstrap(ev, "event_id", "y", "x", 30, "md").withColumn(
+    return I.mean_difference_bootstrap(ev, "event_id", "y", "x", DRAWS_MEAN, "md").withColumn(
         "delta", F.round("delta", 6))

@@ -72,3 +72,37 @@ def test_coverage_counts_supported_cells(spark):
             kept[r["seed"]].add(r["endpoint"])
     got = {r["seed"]: (r["n_kept"], r["n_all"]) for r in queries["coverage"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {s: (len(kept[s]), len(v)) for s, v in every.items()} and any(map(len, kept.values()))
+
+
+def test_label_permutation_makes_all_draws(spark):
+    import numpy as np
+
+    from pathloom.plans import cohort_queries as cq
+
+    rows = sorted((r["label"], r["cls"], r["x"]) for r in cq.target_values(spark, SF).collect())
+    cls = np.array([r[1] for r in rows])
+
+    def f_of(x):
+        groups = [x[cls == c] for c in set(cls)]
+        between = sum(len(g) * (g.mean() - x.mean()) ** 2 for g in groups) / (len(groups) - 1)
+        return between / (sum(((g - g.mean()) ** 2).sum() for g in groups) / (len(x) - len(groups)))
+
+    x = {r[0]: r[2] for r in rows}
+    null = [f_of(np.array([x[k] for k in sorted(x, key=lambda k: (sha("perm", d, k), k))])) for d in range(10_000)]
+    seen = f_of(np.array([r[2] for r in rows]))
+    got = load_all()[0]["random_label_permutation"](spark, SF).first()
+    assert got["p"] == (sum(round(f, 9) >= round(seen, 9) for f in null) + 1) / 10_001
+    assert abs(got["null_mean"] - np.mean(null)) < 2e-6
+
+
+def test_mean_difference_bootstrap_makes_all_draws(spark):
+    rows = load_all()[0]["mean_difference_bootstrap"](spark, SF).collect()
+    assert sorted(r["draw"] for r in rows) == list(range(10_000))
+    ev = spark.read.parquet(f"{SF}/events.parquet").where("event_type in ('click', 'view')").selectExpr(
+        "event_type = 'click' y", "event_id", "round(value * 100) x").collect()
+    kinds = {y: [r["x"] for r in sorted(ev, key=lambda r: r["event_id"]) if r["y"] == y] for y in (True, False)}
+    got = {r["draw"]: r["delta"] for r in rows}
+    for draw in (0, 29, 30, 9_999):
+        mean = {y: sum(v[int(sha("md", draw, int(y), i)[:13], 16) % len(v)] for i in range(len(v))) / len(v)
+                for y, v in kinds.items()}
+        assert abs(got[draw] - (mean[True] - mean[False])) < 2e-6
