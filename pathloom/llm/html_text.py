@@ -30,14 +30,19 @@ SIBLINGS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "t
             "tfoot": "thead tbody tfoot tr td th"}
 
 # never part of an article
-LEFT_OUT = frozenset("head nav aside footer form button select input object embed canvas dialog menu".split()) | RAW
-LEFT_OUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|complementary|footer|contentinfo|"
-    r"masthead|banner|ads?|advert|adverts|advertisement|adsense|adbox|sponsor|sponsored|promo|promotion|cookies?|consent|"
-    r"gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|"
-    r"recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|hidden|"
-    r"(?:site|page|global|top)[_-]?header)(?=$|[\s_-]|\d)|^header$", re.I)
-NOT_THE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|related|promo|sponsored|ads?|advert|teaser)(?=$|[\s_-]|\d)", re.I)
+LEFT_OUT = frozenset("head nav aside footer button select input object embed canvas dialog menu".split()) | RAW
+# left out by name: whole tokens, alone or put together of such words only ('cookie-banner', 'related-posts')
+_WORD = (r"(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|sidebar|side|aside|complementary|footer|contentinfo|"
+         r"masthead|banner|ads?|advert|adverts|advertisement|adsense|adbox|sponsor|sponsored|promo|promotion|cookies?|consent|"
+         r"gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|"
+         r"recommended|comments?|commentlist|disqus|replies|reply|respond|widget|toolbar|pagination|pager|skip|hidden)")
+LEFT_OUT_TOKEN = re.compile(
+    rf"{_WORD}(?:[_-]{_WORD})*(?:[_-](?:posts|links?|buttons?|list|box|bar|area|form))?[_-]?\d*"
+    r"|(?:(?:site|page|global|top)[_-]?)?header", re.I)
+NOT_THE_ARTICLE = re.compile(r"(?:comments?|replies|reply|related|promo|sponsored|ads?|advert|teaser)"
+                             r"(?:[_-](?:body|item|content|card|post))?[_-]?\d*", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BODY_SIZED = 2 / 3  # of the page's characters: what holds as many is no boilerplate by its name
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 ARTICLE_ROLES = re.compile(r"(?:^|\s)(?:main|article|article-?body)(?:$|\s)", re.I)
 
@@ -46,7 +51,8 @@ class Page:
     """DOM of a page: parallel lists by node in document order (a parent before its children)."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.holder = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.holder = ["#root"], [-1], [False]
+        self.named = [False]  # boilerplate by its names, if nothing speaks against it
         self.texts: list[tuple[int, str]] = []  # (node, text); text None parts blocks
         stack = [0]
         at, end = 0, len(source)
@@ -75,6 +81,7 @@ class Page:
             node = self._open(name, rest, stack[-1])
             if name not in VOID and not (rest.rstrip().endswith("/") and name in INLINE):
                 stack.append(node)
+        self.out = self._left_out(True)
 
     def _text(self, node: int, raw: str) -> None:
         if raw:
@@ -84,18 +91,41 @@ class Page:
         marks = {k.lower(): CAMEL.sub("-", v.strip("\"'")) for k, v in ATTRIBUTE.findall(rest)} if rest else {}
         holder = name in ("article", "main") or any(
             ARTICLE_ROLES.search(marks.get(k, "")) for k in ("role", "itemprop"))
-        out = self.out[parent] or name in LEFT_OUT
-        if not out and holder:
-            out = NOT_THE_ARTICLE.search(marks.get("class", "")) is not None
-        elif not out and name not in ("html", "body"):
-            out = any(LEFT_OUT_WORDS.search(v) for v in marks.values()) or (
-                name == "header" and not any(self.holder[a] for a in self._line(parent)))
+        if holder:
+            named = any(map(NOT_THE_ARTICLE.fullmatch, marks.get("class", "").split()))
+        else:
+            named = name not in HEADINGS and any(LEFT_OUT_TOKEN.fullmatch(t) for v in marks.values() for t in v.split())
         self.tag.append(name)
         self.parent.append(parent)
-        self.out.append(out)
         self.holder.append(holder)
+        self.named.append(named)
         return len(self.tag) - 1
 
+    def _left_out(self, names: bool) -> list[bool]:
+        """Nodes outside the article by tag and, with ``names``, by class, id, role or itemprop.
+
+        Names, <form> and <header> don't count for what holds an article or most of the page."""
+        n = len(self.tag)
+        never, within, chars, big = [False] * n, [False] * n, [0] * n, [False] * n
+        for v in range(1, n):
+            p = self.parent[v]
+            never[v] = never[p] or self.tag[v] in LEFT_OUT
+            within[v] = within[p] or self.holder[p]
+        for v, text in self.texts:
+            if text is not None and not never[v]:
+                chars[v] += len("".join(text.split()))
+        for v in range(n - 1, 0, -1):
+            p = self.parent[v]
+            chars[p] += chars[v]
+            big[p] |= big[v] or (self.holder[v] and not self.named[v] and not never[v])
+        out = [False] * n
+        for v in range(1, n):
+            weak = (names and self.named[v] and self.tag[v] not in ("html", "body")) or self.tag[v] == "form" or (
+                self.tag[v] == "header" and not self.holder[v] and not within[v])
+            out[v] = out[self.parent[v]] or never[v] or (
+                weak and not big[v] and not 0 < BODY_SIZED * chars[0] <= chars[v])
+        return out
+
     def _line(self, node: int):
         while node > 0:
             yield node
@@ -208,7 +238,15 @@ class Page:
         return size
 
     def text(self) -> str:
-        """Text of the article: white space as one space, blocks in page order."""
+        """Text of the article: white space as one space, blocks in page order.  When names
+        leave no text, they don't count."""
+        found = self._article()
+        if not found and any(self.named):
+            self.out = self._left_out(False)
+            found = self._article()
+        return found
+
+    def _article(self) -> str:
         size = self._sizes()
         spans = [(r, r + size[r]) for r in self.content()]
         inside = [False] * len(self.tag)
