@@ -35,10 +35,10 @@ def sample_sql(tag: str, name: str) -> str:
 FEAT_SQL = WITH_PATH + sample_sql("cand", "fs")
 
 
-def sampled(spark, sf, tag="cand"):
+def sampled(spark, sf, tag="cand", k=SAMPLE_K):
     """(edges, DAG, sampled paths with edge attributes)."""
     e, d = fx.dag(spark, sf)
-    p = G.sampled_paths(d, fx.MAX_LEN, SAMPLE_K, tag)
+    p = G.sampled_paths(d, fx.MAX_LEN, k, tag)
     got = G.gather(p, e, CELL, ["w", "tract", *fx.METRICS])
     return e, d, got.withColumn("sample_id", F.concat_ws("|", *CELL)).withColumn(
         "path_key", F.array_join("nodes", "|"))
@@ -372,7 +372,7 @@ def sc_rewire_degrees(spark, sf):
 @query("matched_random")
 def matched_random(spark, sf):
     _, _, t = sampled(spark, sf, "cand")
-    _, _, p = sampled(spark, sf, "pool")
+    _, _, p = sampled(spark, sf, "pool", 2 * SAMPLE_K)  # else a full cell leaves no choice
     keep = lambda x: x.select(*CELL, "path_key", arr_mean("w").alias("mean_w"))
     return N.match_greedy(keep(t), keep(p), CELL)
 

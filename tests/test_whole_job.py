@@ -106,3 +106,15 @@ def test_mean_difference_bootstrap_makes_all_draws(spark):
         mean = {y: sum(v[int(sha("md", draw, int(y), i)[:13], 16) % len(v)] for i in range(len(v))) / len(v)
                 for y, v in kinds.items()}
         assert abs(got[draw] - (mean[True] - mean[False])) < 2e-6
+
+
+def test_matched_random_pool_leaves_a_choice(spark, monkeypatch):
+    from pathloom.plans import feature_queries as fq
+
+    pools = []
+    monkeypatch.setattr(fq.N, "match_greedy", lambda t, p, cell: pools.append((t, p)))
+    monkeypatch.setattr(fq, "sampled", lambda spark, sf, tag="cand", k=fq.SAMPLE_K: (
+        None, None, spark.range(k).selectExpr("0 seed", "0 endpoint", "1 L", "id path_key", "array(1D) w")))
+    fq.matched_random(spark, SF)
+    (target, pool), = pools
+    assert (target.count(), pool.count()) == (512, 1024)
