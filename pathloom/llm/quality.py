@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pathloom.llm.common import HOLD_OUT, held_out, table, texts
 
 SAMPLE = 4000          # labelled texts of each kind that the model is fitted on, at most
-SAMPLE_CHARS = 20_000  # of each of them
+SAMPLE_CHARS = 80_000_000  # of all texts of a kind: beyond them, fewer whole texts
 WINDOW = 2048          # bytes compressed together
 DICTIONARY = 112_640   # bytes
 LEVEL = 3
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame) -> SizeModel:
     """A model from labelled documents outside the held-out quarter.
 
     The sample is bounded: of each kind the ``SAMPLE`` documents with the least hash of their
-    id, ``SAMPLE_CHARS`` characters of each.  Half makes the dictionaries, half the calibration.
+    id, whole, up to the one that reaches ``SAMPLE_CHARS`` characters of its kind.  Half makes the dictionaries, half the calibration.
     Labels other than 0 and 1 are no labels; of several for one document the largest counts.
     """
     own = labels.where(f"doc_id is not null and quality in (0, 1) and not ({HOLD_OUT})").groupBy("doc_id").agg(
@@ -133,8 +133,18 @@ def train(docs: DataFrame, labels: DataFrame) -> SizeModel:
     model = SizeModel(b"", b"", 0.5 if share is None else float(share))
     picked = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * SAMPLE rows at most
-    rows = texts(docs).where("text <> ''").join(picked, "doc_id").select(
-        "doc_id", "quality", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    found = texts(docs).where("text <> ''").join(picked, "doc_id")
+    sizes = found.groupBy("doc_id", "quality").agg(F.sum(F.length("text")).alias("n")).withColumn(
+        "h", F.xxhash64("doc_id")).collect()
+    total, keep = [0, 0], []
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if total[r["quality"]] < SAMPLE_CHARS:
+            keep.append((r["doc_id"], r["quality"]))
+        total[r["quality"]] += r["n"]
+    if len(keep) < len(sizes):
+        fewer = docs.sparkSession.createDataFrame(keep, picked.select("doc_id", "quality").schema)
+        found = found.join(F.broadcast(fewer.select("doc_id")), "doc_id", "left_semi")
+    rows = found.select("doc_id", "quality", "text").collect()
     rows = sorted({(r["doc_id"], r["quality"], r["text"]) for r in rows})
     kinds = [[r[2] for r in rows if r[1] == q] for q in (0, 1)]
     if min(map(len, kinds)) < 2:
