@@ -3,7 +3,7 @@
 from importlib import import_module
 
 MODULES = ["ngram_join", "html_text", "fingerprint", "quality", "token_counts", "bpe", "language_id",
-           "exact_dedup", "url_filter", "packing"]
+           "exact_dedup", "url_filter", "packing", "filter_audit", "periodic_runs", "sentence_pieces"]
 
 
 def load_all():
