@@ -5,6 +5,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,11 @@ from pathloom.llm.pieces import slices, tokenizer_path
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"        # stands for a space inside pieces
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
-MEMORY = 300_000       # segments a Python worker remembers, some 60 MB
-TOGETHER = 50_000      # new segments merged side by side
+MEMORY = 200_000       # segments a Python worker remembers, some 40 MB
+TOGETHER = 20_000      # new segments merged side by side
 LONG = 48              # symbols from which a segment gets an agenda of its own
 SLOTS = 1 << 20        # of each of the two hash tables of symbol pairs
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
@@ -34,6 +36,10 @@ def one_each(error):
 codecs.register_error("pathloom_one_each", one_each)
 
 
+def slot(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return ((keys.view(np.uint64) * salt) >> np.uint64(44)).astype(np.int64)
+
+
 class Model:
     """Pieces, scores and pairs of a merge-type vocabulary with byte fallback."""
 
@@ -54,50 +60,56 @@ class Model:
         self.id_of = {p: i for i, p in enumerate(self.pieces) if not any(kind[i])}
         # a segment may start at every mark behind another character unless some piece spans the place
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.id_of)
-        self.pairs = {}
-        for p, i in self.id_of.items():
-            for k in range(1, len(p)):
-                a, b = self.id_of.get(p[:k]), self.id_of.get(p[k:])
-                if a is not None and b is not None:
-                    self.pairs[a, b] = i
-        scores = [self.library.get_score(i) for i in range(size)]
+
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """Piece that two pieces in a row make, by their ids."""
+        return {(self.id_of[p[:k]], self.id_of[p[k:]]): i for p, i in self.id_of.items()
+                for k in range(1, len(p)) if p[:k] in self.id_of and p[k:] in self.id_of}
+
+    @cached_property
+    def rank(self) -> np.ndarray:
+        """Place of each piece by falling score; equal scores share it."""
+        scores = [self.library.get_score(i) for i in range(len(self.pieces))]
         order = {s: r for r, s in enumerate(sorted(set(scores), reverse=True))}
-        self.rank = np.array([order[s] for s in scores], np.int64)
-        self.char_id = np.full(0x110000, -1, np.int32)
+        return np.array([order[s] for s in scores], np.int64)
+
+    @cached_property
+    def char_id(self) -> np.ndarray:
+        out = np.full(0x110000, -1, np.int32)
         for p, i in self.id_of.items():
             if len(p) == 1:
-                self.char_id[ord(p)] = i
-        self._hash_pairs()
+                out[ord(p)] = i
+        return out
 
-    def _hash_pairs(self) -> None:
-        """Pairs in two tables; what shares a slot of the first lies in the second."""
+    @cached_property
+    def hashed(self) -> tuple[list, list, list]:
+        """Pairs in two tables (salts, keys, values); what shares a slot of the first lies in the second."""
         keys = np.array([(a << 32) | b for a, b in self.pairs], np.int64)
         made = np.array(list(self.pairs.values()), np.int32)
         rng = np.random.default_rng(1)
         while True:
-            self.salt = [np.uint64(int(x) | 1) for x in rng.integers(1 << 40, 1 << 62, 2)]
-            self.key = [np.full(SLOTS, -1, np.int64) for _ in range(2)]
-            self.value = [np.full(SLOTS, -1, np.int32) for _ in range(2)]
+            salt = [np.uint64(int(x) | 1) for x in rng.integers(1 << 40, 1 << 62, 2)]
+            key = [np.full(SLOTS, -1, np.int64) for _ in range(2)]
+            value = [np.full(SLOTS, -1, np.int32) for _ in range(2)]
             left = np.arange(len(keys))
             for t in range(2):
-                at = self._slot(keys[left], t)
+                at = slot(keys[left], salt[t])
                 _, first = np.unique(at, return_index=True)
-                self.key[t][at[first]], self.value[t][at[first]] = keys[left[first]], made[left[first]]
+                key[t][at[first]], value[t][at[first]] = keys[left[first]], made[left[first]]
                 left = np.delete(left, first)
             if not len(left):
-                return
-
-    def _slot(self, keys: np.ndarray, t: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * self.salt[t]) >> np.uint64(44)).astype(np.int64)
+                return salt, key, value
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Piece that each pair of symbols makes, or -1."""
+        salt, key, value = self.hashed
         keys = (a.astype(np.int64) << 32) | b
-        at = self._slot(keys, 0)
-        out = np.where(self.key[0][at] == keys, self.value[0][at], -1)
+        at = slot(keys, salt[0])
+        out = np.where(key[0][at] == keys, value[0][at], -1)
         miss = np.flatnonzero(out < 0)
-        at = self._slot(keys[miss], 1)
-        out[miss] = np.where(self.key[1][at] == keys[miss], self.value[1][at], -1)
+        at = slot(keys[miss], salt[1])
+        out[miss] = np.where(key[1][at] == keys[miss], value[1][at], -1)
         out[(a < 0) | (b < 0)] = -1
         return out
 
@@ -202,8 +214,8 @@ class Model:
 class Encoder:
     """Ids of texts by a model and a bounded memory of the segments seen."""
 
-    def __init__(self, path: str, memory: int = MEMORY):
-        self.model, self.memory = Model(path), memory
+    def __init__(self, path: str, memory: int = MEMORY, checked: bool = False):
+        self.model, self.memory, self.checked = Model(path), memory, checked
         self.known: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -225,19 +237,24 @@ class Encoder:
             self.known = {p: self.known[p] for p in here.intersection(self.known)}
         for at in range(0, len(fresh), TOGETHER):
             part = fresh[at:at + TOGETHER]
-            self.known.update(zip(part, self.model.together([MARK + p for p in part])))
+            ids = self.model.together([MARK + p for p in part])
+            if self.checked:
+                self.check(part, ids)
+            self.known.update(zip(part, ids))
         get = self.known.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
-    def check(self, of: list[str], flat: np.ndarray, ends: np.ndarray) -> None:
-        """Raises unless the library gives the same ids for every text."""
-        theirs = self.model.library.encode(of, num_threads=1)
-        sizes = np.fromiter(map(len, theirs), np.int64, len(of))
-        if np.array_equal(np.cumsum(sizes), ends) and np.array_equal(
-                np.fromiter((i for x in theirs for i in x), np.int32, len(flat)), flat):
-            return
-        at = next(k for k, x in enumerate(theirs) if x != flat[ends[k] - (ends[k] - (ends[k - 1] if k else 0)):ends[k]].tolist())
-        raise ValueError(f"the sentencepiece library encodes another way: {of[at][:200]!r}")
+    def check(self, segments: list[str], ids: list[bytes]) -> None:
+        """Raises unless the library gives the same ids for every segment; it puts the first
+        mark itself, but none in front of nothing."""
+        if "" in segments:
+            at = segments.index("")
+            segments, ids = segments[:at] + segments[at + 1:], ids[:at] + ids[at + 1:]
+        theirs = self.model.library.encode(segments, num_threads=1)
+        if np.array(list(chain.from_iterable(theirs)), np.int32).tobytes() != b"".join(ids) or any(
+                4 * len(x) != len(y) for x, y in zip(theirs, ids)):
+            at = next(k for k, x in enumerate(theirs) if np.array(x, np.int32).tobytes() != ids[k])
+            raise ValueError(f"the sentencepiece library encodes another way: {segments[at][:200]!r}")
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the space in front of the first piece that says anything goes."""
@@ -253,38 +270,33 @@ class Encoder:
         return "".join(parts)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, checked: bool = False) -> Encoder:
     """One encoder a Python worker and vocabulary; workers are used again for later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, checked) not in _encoders:
+        _encoders[path, checked] = Encoder(path, checked=checked)
+    return _encoders[path, checked]
 
 
 def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     """doc_id, n_tokens and ids of every whole text of ``docs`` (doc_id, text).
 
     A text falls apart where no piece of the vocabulary can span; each new segment is merged
-    by its agenda.  With ``check`` the library encodes every Arrow batch too and another
-    result raises.  A missing or empty text has no ids.  Rows repeated are encoded each, a
-    missing doc_id stays missing, an empty table gives no rows, other columns go.
+    by its agenda.  With ``check`` the library encodes the new segments of every Arrow batch
+    too, and another result raises.  A missing or empty text has no ids.  Rows repeated are
+    encoded each, a missing doc_id stays missing, an empty table gives no rows, other columns go.
     """
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, check)
         for batch in batches:
             ids, of, at = batch.column(0), batch.column(1).to_pylist(), 0
             for part in slices(of, SLICE_CHARS):
                 rows = enc.encode(part)
-                ends = np.cumsum([len(r) // 4 for r in rows])
-                flat = np.frombuffer(b"".join(rows), np.int32)
-                if check:
-                    enc.check(part, flat, ends)
-                offsets = np.r_[0, ends].astype(np.int32)
-                yield pa.record_batch([ids.slice(at, len(part)), pa.array(np.diff(offsets).astype(np.int64)),
-                                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                                      ["doc_id", "n_tokens", "ids"])
+                offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+                yield pa.record_batch([ids.slice(at, len(part)), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(
+                    pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["doc_id", "n_tokens", "ids"])
                 at += len(part)
     return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 

@@ -221,12 +221,15 @@ def test_decoding_equals_the_library(library):
 
 
 def test_check_raises_on_other_ids(library):
-    enc = sentence_pieces.Encoder(MODEL)
-    flat = np.array(library.encode("some words") + library.encode("more"), np.int32)
-    ends = np.array([len(library.encode("some words")), len(flat)])
-    enc.check(["some words", "more"], flat, ends)
-    with pytest.raises(ValueError, match="another way"):
-        enc.check(["some words", "most"], flat, ends)
+    enc = sentence_pieces.Encoder(MODEL, checked=True)
+    ids = [np.array(library.encode(x), np.int32).tobytes() for x in ("some", "words", "more")]
+    enc.check(["some", "", "words", "more"], [ids[0], b"____", *ids[1:]])
+    for wrong in (["some", "words", "most"], ["some", "more", "words"]):
+        with pytest.raises(ValueError, match="another way"):
+            enc.check(wrong, ids)
+    rng = random.Random(9)
+    of = [random_text(rng) for _ in range(500)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in enc.encode(of)] == library.encode(of)
 
 
 def expected_pieces(library, rows):
