@@ -9,13 +9,16 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 
 PLAIN_BREAK = re.compile(r"(?<=\S)(?= )")
 SPACE_RUN = re.compile(r"\s ")
+PLAIN = re.compile(r" [^\s](?:[^ ]*[^\s ])?")
 MEMORY = 400_000  # pieces a Python worker remembers, some 70 MB
 TOGETHER = 200    # new pieces encoded as one string
+AT_ONCE = 50_000  # new pieces whose ids are taken apart together
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,25 +62,26 @@ class PieceEncoder:
         return [b"".join(map(get, s)) for s in split]
 
     def _learn(self, fresh: list[str]) -> None:
-        """Pieces that start with one space and end visibly may stand in a row and still be
+        """Pieces of one space in front and a visible end may stand in a row and still be
         encoded as each by itself; the lengths of the tokens tell them apart."""
-        plain, odd = [], []
-        for p in fresh:
-            (plain if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() else odd).append(p)
+        plain = list(filter(PLAIN.fullmatch, fresh))
+        odd = list(set(fresh).difference(plain)) if len(plain) < len(fresh) else []
         for piece, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.known[piece] = array("I", e.ids).tobytes()
-        rows = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for row, e in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
+        for at in range(0, len(plain), AT_ONCE):
+            part = plain[at:at + AT_ONCE]
+            rows = ["".join(part[i:i + TOGETHER]) for i in range(0, len(part), TOGETHER)]
+            ids = np.array(list(chain.from_iterable(
+                e.ids for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False))), np.uint32)
             ends = np.cumsum(self.n_bytes[ids])
-            wanted = np.cumsum([len(p.encode()) for p in row])
-            at = np.searchsorted(ends, wanted)
-            if not np.array_equal(ends[at], wanted):
+            whole = "".join(rows).encode()
+            wanted = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) == 32)[1:], len(whole))
+            last = np.searchsorted(ends, wanted)
+            if not np.array_equal(ends[last], wanted):
                 raise ValueError("a token runs across two pieces; the vocabulary isn't byte-level")
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(row, (4 * (at + 1)).tolist()):
-                self.known[p] = raw[start:end]
-                start = end
+            stops = 4 * (last + 1)
+            self.known.update(zip(part, map(ids.tobytes().__getitem__, map(
+                slice, np.append(0, stops[:-1]).tolist(), stops.tolist()))))
 
 
 _encoders: dict[str, PieceEncoder] = {}
