@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathloom.functions.columns import arr_sum, hash_hex, hash_int
+from pathloom.functions.columns import arr_sum, hash_hex, hash_int, hash_mod
 from pathloom.operators.graph import path_edges
+from pathloom.operators.ordered import row_position
 from pathloom.session import broadcast_if_small, materialize
 
 POOL_LIMIT = 16_384  # paths one cell may bring to the greedy match
@@ -243,3 +244,69 @@ def with_shortfall(cells: DataFrame, walks: DataFrame) -> DataFrame:
 
 def total_of(a: str) -> Column:
     return arr_sum(a)
+
+
+def exchange_rounds(edges: DataFrame, group: str, tag: str, per_edge: int = 4, patience: int = 20) -> DataFrame:
+    """Degree-preserving exchanges of edge ends as joins: (group, a, b) with a < b.
+
+    Every round puts the edges of a group into a new hash order and pairs neighbours; a pair
+    (a, b), (c, d) asks for (a, d), (c, b), or with c and d swapped.  It gets them if the four
+    ends differ and no edge and no other pair of the round holds or asks for one of the two.
+    A group goes on until ``per_edge`` exchanges an edge are made, at most ``per_edge *
+    patience`` rounds.  Pairing, conflicts and exchanges are shuffled by edge, so a group may
+    hold any number of edges; the driver sees a count a group and round.
+    """
+    cur = materialize(edges.select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = {r[group]: per_edge * r["count"] for r in cur.groupBy(group).count().collect()}  # one row per half
+    made = dict.fromkeys(wanted, 0)
+    finished = None
+    for t in range(per_edge * patience):
+        over = [g for g in wanted if g in made and made[g] >= wanted[g]]
+        if over:
+            out = cur.where(F.col(group).isin(over)).select(group, "a", "b")
+            finished = out if finished is None else finished.unionByName(out)
+            cur = cur.where(~F.col(group).isin(over))
+            for g in over:
+                del made[g]
+        if not made:
+            break
+        cur = materialize(_exchange(cur.select(group, "a", "b"), group, tag, t))
+        for r in cur.groupBy(group).agg(F.count_if("moved").alias("n")).collect():
+            made[r[group]] += r["n"] // 2
+    rest = cur.select(group, "a", "b")
+    return rest if finished is None else finished.unionByName(rest)
+
+
+def _exchange(cur: DataFrame, group: str, tag: str, t: int) -> DataFrame:
+    """One round of :func:`exchange_rounds`: (group, a, b, moved)."""
+    placed = row_position(cur.withColumn("h", hash_hex(tag, t, F.col("a"), F.col("b"))), [group], ["h", "a", "b"])
+    pair = placed.groupBy(group, F.expr("(pos - 1) div 2").alias("pair")).agg(
+        F.min(F.struct("pos", "a", "b")).alias("x"), F.max(F.struct("pos", "a", "b")).alias("y"), F.count(F.lit(1)).alias("k"))
+    swap = hash_mod(2, tag, "flip", t, F.col("x.a"), F.col("x.b")) == 1
+    ends = F.array("x.a", "x.b", "y.a", "y.b")
+    edge = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    c, d = F.when(swap, F.col("y.b")).otherwise(F.col("y.a")), F.when(swap, F.col("y.a")).otherwise(F.col("y.b"))
+    asked = pair.withColumn("new", F.when((F.col("k") == 2) & (F.size(F.array_distinct(ends)) == 4), F.array(
+        edge(F.col("x.a"), d), edge(c, F.col("x.b")))))
+    claims = asked.where("new is not null").select(group, "pair", F.explode("new").alias("e")).select(group, "pair", "e.a", "e.b")
+    free = claims.unionByName(cur.select(group, F.lit(None).cast("bigint").alias("pair"), "a", "b")).groupBy(group, "a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.max("pair").alias("pair")).where("n = 1 and pair is not null")
+    granted = free.groupBy(group, "pair").count().where("count = 2").select(group, "pair", F.lit(True).alias("ok"))
+    old = F.when(F.col("k") == 2, F.array(edge(F.col("x.a"), F.col("x.b")), edge(F.col("y.a"), F.col("y.b")))).otherwise(
+        F.array(edge(F.col("x.a"), F.col("x.b"))))
+    return asked.join(granted, [group, "pair"], "left").select(
+        group, F.coalesce("ok", F.lit(False)).alias("moved"), F.explode(F.when(F.col("ok"), F.col("new")).otherwise(old)).alias("e")
+    ).select(group, "e.a", "e.b", "moved")
+
+
+def rewired_mask(edges: DataFrame, half: int, tag: str) -> DataFrame:
+    """``edges`` with the mask exchanged inside both halves: a pair is masked in both directions
+    if the exchanged graph holds it; between the halves the mask stays."""
+    left = F.col("u") < half
+    inside = left == (F.col("v") < half)
+    und = edges.where(F.col("mask") & inside).select(
+        left.alias("left"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    new = exchange_rounds(und, "left", tag).select("a", "b", F.lit(True).alias("linked"))
+    j = edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(
+        broadcast_if_small(materialize(new)), ["a", "b"], "left")
+    return j.withColumn("mask", F.when(inside, F.coalesce("linked", F.lit(False))).otherwise(F.col("mask"))).select(*edges.columns)
