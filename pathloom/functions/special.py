@@ -77,3 +77,8 @@ def f_tail_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 @pandas_udf(DoubleType())
 def t_quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_quantile, p, df)
+
+
+@pandas_udf(DoubleType())
+def normal_two_sided_udf(z: pd.Series) -> pd.Series:
+    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)

@@ -86,6 +86,13 @@ def full_matrix(values: DataFrame, nodes: DataFrame, missing: float, diagonal: f
     return grid.join(values.select("u", "v", "x"), ["u", "v"], "left").select("u", "v", x.cast("double").alias("x"))
 
 
+def whole_matrix(values: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``values`` with zeros for the pairs of ``nodes`` (node) that it lacks, the diagonal as it is."""
+    every = nodes.select(F.col("node").alias("u")).distinct()
+    zeros = every.crossJoin(every.withColumnRenamed("u", "v")).withColumn("x", F.lit(0.0))
+    return zeros.unionByName(values.select("u", "v", "x")).groupBy("u", "v").agg(F.sum("x").alias("x"))
+
+
 def routing_efficiency(lengths: DataFrame) -> DataFrame:
     """1 / shortest distance of connected pairs; ``full_matrix`` adds the zeros."""
     return shortest_paths(lengths).select("u", "v", (1.0 / F.col("dist")).alias("x"))
@@ -163,10 +170,13 @@ def normalised_strength(weights: DataFrame) -> DataFrame:
                     .alias("x")))
 
 
-def communicability(weights: DataFrame, terms: int = 20, cut_every: int = 4) -> DataFrame:
-    """exp of the strength-normalised matrix as a Taylor sum of sparse products."""
+def communicability(weights: DataFrame, terms: int = 20, cut_every: int = 4, nodes: DataFrame | None = None) -> DataFrame:
+    """exp of the strength-normalised matrix as a Taylor sum of sparse products: the cells that
+    walks reach, or with ``nodes`` (node) the whole matrix, where a node without edges has one
+    on the diagonal."""
     w = materialize(normalised_strength(weights))
-    nodes = w.select("u").union(w.select("v")).distinct()
+    all_nodes = nodes
+    nodes = w.select("u").union(w.select("v")).distinct() if nodes is None else nodes.select(F.col("node").alias("u")).distinct()
     right = broadcast_if_small(w.select(F.col("u").alias("m"), F.col("v").alias("v2"),
                                         F.col("x").alias("y")))
     total = nodes.select("u", F.col("u").alias("v"), F.lit(1.0).alias("x"))
@@ -178,7 +188,8 @@ def communicability(weights: DataFrame, terms: int = 20, cut_every: int = 4) ->
         if k % cut_every == 0:
             power = materialize(power)
         total = total.unionByName(power.select("u", "v", (F.col("x") / float(math.factorial(k))).alias("x")))
-    return total.groupBy("u", "v").agg(F.sum("x").alias("x"))
+    out = total.groupBy("u", "v").agg(F.sum("x").alias("x"))
+    return out if all_nodes is None else whole_matrix(out, all_nodes)
 
 
 def density_sweep(weights: DataFrame, quantiles: list[float], measure) -> DataFrame:

@@ -351,9 +351,14 @@ def fixed_fits(df: DataFrame, assign: DataFrame, chosen: DataFrame, group: str,
         "repeat", "outer_fold").agg(
         F.array_sort(F.collect_list(F.struct("idx", "value")))["value"].alias("m"))
     j = m.join(chosen.select("repeat", "outer_fold", "alpha", "l1_ratio"), ["repeat", "outer_fold"])
-    med = fold_medians(df, assign, group, features, False).select("repeat", "outer_fold", F.array(*[
-        F.coalesce(F.col(f), F.lit(0.0)) for f in features]).alias("v"))
-    j = j.join(med, ["repeat", "outer_fold"], "left")
+    seen = df.agg(*[F.bool_or(~F.coalesce(finite(F.col(f)), F.lit(False))).alias(f) for f in features]).first()
+    gaps = [f for f in features if seen[f]]
+    if gaps:  # other columns need no fill
+        med = fold_medians(df, assign, group, gaps, False).select("repeat", "outer_fold", F.array(*[
+            F.coalesce(F.col(f), F.lit(0.0)) if f in gaps else F.lit(0.0) for f in features]).alias("v"))
+        j = j.join(med, ["repeat", "outer_fold"], "left")
+    else:
+        j = j.withColumn("v", F.lit(None).cast("array<double>"))
 
     def fit(batches):
         for pdf in batches:

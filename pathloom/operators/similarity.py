@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions.columns import anomaly_index, clip, cosine, hash_hex
-from pathloom.operators.ordered import value_ranks
+from pathloom.functions.special import f_tail_udf, normal_two_sided_udf, t_two_sided_udf
+from pathloom.operators.ordered import row_position, scan, value_ranks
 from pathloom.session import broadcast_if_small, is_small, materialize
 
 ALPHA = 0.242  # fixed value: displacement share for every target
@@ -135,9 +136,10 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     n, k = F.sum("n"), F.count(F.lit(1))
     between = F.sum(F.col("s") * F.col("s") / F.col("n")) - F.sum("s") * F.sum("s") / n
     within = F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n"))
-    return g.agg(n.alias("n"), k.alias("k"), between.alias("ss_between"), within.alias("ss_within"),
-                 ((between / (k - 1)) / (within / (n - k))).alias("f"),
-                 (between / (between + within)).alias("eta_sq"))
+    r = g.agg(n.alias("n"), k.alias("k"), between.alias("ss_between"), within.alias("ss_within"),
+              ((between / (k - 1)) / (within / (n - k))).alias("f"),
+              (between / (between + within)).alias("eta_sq"))
+    return r.withColumn("p", f_tail_udf("f", (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")))
 
 
 def permanova(df: DataFrame, group: str, vec: str) -> DataFrame:
@@ -193,7 +195,8 @@ def two_group_stats(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
     """Welch t with its degrees of freedom, Cohen d, U and rank-biserial r of a against b.
 
     U counts for group a; the rank-biserial sign follows the other group's U, as in
-    the published tables.
+    the published tables.  Two-sided p-values: Welch's, and that of U by the normal
+    approximation with corrections for ties and continuity.
     """
     sub = df.where(F.col(group).isin(a, b)).select((F.col(group) == F.lit(a)).alias("is_a"), value)
     counted = sub.groupBy(value).agg(F.count_if("is_a").alias("na"), F.count_if(~F.col("is_a")).alias("nb"))
@@ -203,8 +206,9 @@ def two_group_stats(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
     s = j.agg(F.sum("na").alias("n1"), F.sum("nb").alias("n2"),
               F.sum(F.col("na") * x).alias("s1"), F.sum(F.col("nb") * x).alias("s2"),
               F.sum(F.col("na") * x * x).alias("q1"), F.sum(F.col("nb") * x * x).alias("q2"),
-              F.sum(F.col("na") * F.col("avg_rank")).alias("r1"))
-    s = s.select("n1", "n2", (F.col("s1") / F.col("n1")).alias("mean1"),
+              F.sum(F.col("na") * F.col("avg_rank")).alias("r1"),
+              F.sum(F.pow((F.col("na") + F.col("nb")).cast("double"), 3) - (F.col("na") + F.col("nb"))).alias("ties"))
+    s = s.select("n1", "n2", "ties", (F.col("s1") / F.col("n1")).alias("mean1"),
                  (F.col("s2") / F.col("n2")).alias("mean2"),
                  ((F.col("q1") - F.col("s1") * F.col("s1") / F.col("n1")) / (F.col("n1") - 1)).alias("v1"),
                  ((F.col("q2") - F.col("s2") * F.col("s2") / F.col("n2")) / (F.col("n2") - 1)).alias("v2"),
@@ -213,12 +217,16 @@ def two_group_stats(df: DataFrame, group: str, a, b, value: str) -> DataFrame:
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"))
                     / (F.col("n1") + F.col("n2") - 2))
     diff = F.col("mean1") - F.col("mean2")
-    return s.select(
-        "n1", "n2", "mean1", "mean2", (diff / F.sqrt(e1 + e2)).alias("welch_t"),
+    both, n = F.col("n1") * F.col("n2"), F.col("n1") + F.col("n2")
+    far = F.greatest(F.abs(F.col("u") - both / 2.0) - 0.5, F.lit(0.0)) / F.sqrt(
+        both / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1.0))))
+    out = s.select(
+        "n1", "n2", "mean1", "mean2", far.alias("__z"), (diff / F.sqrt(e1 + e2)).alias("welch_t"),
         ((e1 + e2) * (e1 + e2) / (e1 * e1 / (F.col("n1") - 1) + e2 * e2 / (F.col("n2") - 1)))
         .alias("welch_df"),
         F.when(pooled > 0, diff / pooled).alias("cohens_d"), "u",
         (1.0 - 2.0 * F.col("u") / (F.col("n1") * F.col("n2"))).alias("rank_biserial"))
+    return out.withColumns({"welch_p": t_two_sided_udf("welch_t", "welch_df"), "u_p": normal_two_sided_udf("__z")}).drop("__z")
 
 
 def mann_whitney_exact(n1: int, n2: int, u: float) -> float:
@@ -476,14 +484,22 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def kendall(targets: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Kendall tau-b over targets; equal (x, y) pairs are counted once with their number.
+    """Kendall tau-b over rows; equal (x, y) pairs are counted once with their number.
 
-    Concordance is a statement about pairs, so distinct values meet in a range join on x."""
+    Two distinct values of y part at one bit of their ranks.  Each bit makes groups of rows
+    that agree in the bits above; in the order of x a running count of the zeros and ones
+    before a row gives the pairs that part there.  That is rows x bits, never pairs of rows."""
     v = materialize(targets.groupBy(F.col(x).alias("x0"), F.col(y).alias("y0")).agg(
         F.count(F.lit(1)).cast("double").alias("m")))
-    o = v.select(F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("m").alias("m1"))
-    balance = v.join(o, F.col("x0") < F.col("x1")).agg(F.coalesce(F.sum(
-        F.col("m") * F.col("m1") * F.signum(F.col("y1") - F.col("y0"))), F.lit(0.0)).alias("s"))
+    ranks = materialize(row_position(v.select("y0").distinct(), [], ["y0"], "rank").withColumn("rank", F.col("rank") - 1))
+    bits = max(1, ((ranks.agg(F.max("rank")).first()[0] or 0)).bit_length())
+    part = v.join(ranks, "y0").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    one = F.getbit("rank", F.col("level")) == 1
+    at = part.groupBy("level", F.expr("shiftright(rank, level + 1)").alias("above"), "x0").agg(
+        F.sum(F.when(~one, F.col("m")).otherwise(0.0)).alias("m0"), F.sum(F.when(one, F.col("m")).otherwise(0.0)).alias("m1"))
+    run = scan(materialize(at), ["level", "above"], ["x0"], {"c0": ("sum", F.col("m0")), "c1": ("sum", F.col("m1"))})
+    balance = run.agg(F.coalesce(F.sum(F.col("m1") * (F.col("c0") - F.col("m0")) - F.col("m0") * (F.col("c1") - F.col("m1"))),
+                                 F.lit(0.0)).alias("s"))
     n = targets.agg(F.count(F.lit(1)).cast("double").alias("n"))
     untied = lambda c: v.groupBy(c).agg(F.sum("m").alias("m")).agg(
         F.sum(F.col("m") * F.col("m")).alias(f"q{c}"))

@@ -311,17 +311,30 @@ def target_zscores(spark, sf):
     return z.select("label", "n", *[F.round(c, 6).alias(c) for c in COLS])
 
 
+def tail_sql(f: str, d1: str, d2: str, steps: int = 20_000) -> str:
+    """Upper tail of F by Simpson's rule on the beta integral, with t = u^2 against the pole at 0."""
+    return f"""(select 1 - 2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0))
+      * sum(w * pow(u, {d1} - 1.0) * pow(1 - u * u, {d2} / 2.0 - 1)) * min(h) / 3
+      from (select i * top / {steps} u, top / {steps} h, case when i in (0, {steps}) then 1 when i % 2 = 1 then 4 else 2 end w
+            from (select sqrt({d1} * {f} / ({d1} * {f} + {d2})) top), range({steps + 1}) r(i)))"""
+
+
+NORMAL_SQL = """(select 1 - 2 / sqrt(2 * pi()) * sum(w * exp(-x * x / 2)) * min(h) / 3
+      from (select i * {z} / 2000 x, {z} / 2000 h, case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end w
+            from range(2001) r(i)))"""
+
+
 @query("anova_f", """
 with g as (select event_type, count(*) n, sum(value) s, sum(value*value) q from events group by 1),
 t as (select sum(n)::bigint n, count(*)::bigint k, sum(s*s/n) - sum(s)*sum(s)/sum(n) b,
         sum(q - s*s/n) w from g)
 select n, k, round(b, 3) ss_between, round(w, 3) ss_within, round((b/(k-1))/(w/(n-k)), 6) f,
-       round(b/(b+w), 9) eta_sq from t""")
+       round(b/(b+w), 9) eta_sq, round(""" + tail_sql("((b/(k-1))/(w/(n-k)))", "(k - 1)", "(n - k)") + """, 6)::double p from t""")
 def anova_f(spark, sf):
     a = Q.anova(fx.table(spark, sf, "events"), "event_type", "value")
     return a.select("n", "k", F.round("ss_between", 3).alias("ss_between"),
                     F.round("ss_within", 3).alias("ss_within"), F.round("f", 6).alias("f"),
-                    F.round("eta_sq", 9).alias("eta_sq"))
+                    F.round("eta_sq", 9).alias("eta_sq"), F.round("p", 6).alias("p"))
 
 
 @query("permanova_f", """
@@ -391,16 +404,19 @@ r as (select a, value, (rank() over (order by value) + (count(*) over (partition
       from v),
 s as (select count(*) filter (a)::bigint n1, count(*) filter (not a)::bigint n2, avg(value) filter (a) m1,
   avg(value) filter (not a) m2, var_samp(value) filter (a) v1, var_samp(value) filter (not a) v2,
-  sum(rk) filter (a) r1 from r)
-select n1, n2, round(m1, 6) mean1, round(m2, 6) mean2, round((m1-m2)/sqrt(v1/n1+v2/n2), 6) welch_t,
+  sum(rk) filter (a) r1 from r),
+tie as (select sum(c^3 - c)::double t from (select count(*)::double c from v group by value)),
+q as (select s.*, (m1-m2)/sqrt(v1/n1+v2/n2) wt, (v1/n1+v2/n2)^2/((v1/n1)^2/(n1-1)+(v2/n2)^2/(n2-1)) wd,
+  greatest(abs(r1 - n1*(n1+1)/2.0 - n1*n2/2.0) - 0.5, 0) / sqrt(n1*n2/12.0 * (n1+n2+1 - t / ((n1+n2)*(n1+n2-1.0)))) z from s, tie)
+select round(""" + tail_sql("(wt * wt)", "1", "wd") + """, 6)::double welch_p, round(""" + NORMAL_SQL.format(z="z") + """, 6)::double u_p, n1, n2, round(m1, 6) mean1, round(m2, 6) mean2, round((m1-m2)/sqrt(v1/n1+v2/n2), 6) welch_t,
   round((v1/n1+v2/n2)^2/((v1/n1)^2/(n1-1)+(v2/n2)^2/(n2-1)), 3) welch_df,
   round((m1-m2)/sqrt(((n1-1)*v1+(n2-1)*v2)/(n1+n2-2)), 6) cohens_d,
   (r1 - n1*(n1+1)/2.0)::double u, round(1 - 2.0*(r1 - n1*(n1+1)/2.0)/(n1*n2), 6)::double rank_biserial
-from s""")
+from q""")
 def two_group_contrast(spark, sf):
     r = Q.two_group_stats(fx.table(spark, sf, "events"), "event_type", "click", "view", "value")
     return r.select("n1", "n2", "u", F.round("welch_df", 3).alias("welch_df"), *[
-        F.round(c, 6).alias(c) for c in ("mean1", "mean2", "welch_t", "cohens_d", "rank_biserial")])
+        F.round(c, 6).alias(c) for c in ("mean1", "mean2", "welch_t", "cohens_d", "rank_biserial", "welch_p", "u_p")])
 
 
 @query("class_mean_ci")
@@ -475,6 +491,14 @@ def kendall(spark, sf):
     return Q.kendall(m, "label", "f1", "f2").withColumn("tau", F.round("tau", 6))
 
 
+@query("kendall_rows", """
+with p as (select sign(a.p_size - b.p_size) x, sign(a.p_retailprice - b.p_retailprice) y
+           from part a join part b on a.p_partkey < b.p_partkey)
+select round(sum(x * y) / sqrt(sum(abs(x))::double * sum(abs(y))), 9)::double tau from p""")
+def kendall_rows(spark, sf):
+    return Q.kendall(fx.table(spark, sf, "part"), "p_partkey", "p_size", "p_retailprice").withColumn("tau", F.round("tau", 9))
+
+
 @query("similarity_links", DISP_SQL + """,
 s as (select label, (m1*r1+m2*r2+m3*r3+m4*r4) / (sqrt(m1*m1+m2*m2+m3*m3+m4*m4)
         * sqrt(r1*r1+r2*r2+r3*r3+r4*r4)) sr, (f1*r1+f2*r2+f3*r3+f4*r4) / (sqrt(f1*f1+f2*f2+f3*f3+f4*f4)

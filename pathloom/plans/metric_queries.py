@@ -115,12 +115,13 @@ def _power_sql() -> str:
 
 @query("communicability", WITH_EDGE + """,
 wt as (select u, v, w::double / (select sum(w) from edge where mask) x from edge where mask), """
-       + _power_sql() + ", al as (select k u, k v, 1.0 x from (select u k from wt union select v "
-       "from wt)" + "".join(f" union all select u, v, x / {math.factorial(k)}.0 from p{k}"
+       + _power_sql() + ", al as (select n_nationkey u, n_nationkey v, 1.0 x from nation union all "
+       "select a.n_nationkey, b.n_nationkey, 0.0 from nation a, nation b" + "".join(f" union all select u, v, x / {math.factorial(k)}.0 from p{k}"
                             for k in range(1, TERMS + 1))
        + ") select u, v, round(sum(x), 6) x from al group by u, v")
 def communicability(spark, sf):
-    return M.communicability(weights(spark, sf), TERMS).select("u", "v", F.round("x", 6).alias("x"))
+    nodes = fx.table(spark, sf, "nation").select(F.col("n_nationkey").alias("node"))
+    return M.communicability(weights(spark, sf), TERMS, nodes=nodes).select("u", "v", F.round("x", 6).alias("x"))
 
 
 @query("density_sweep", WITH_EDGE + """,
