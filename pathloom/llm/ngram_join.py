@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pathloom.llm.common import table, texts, written
 from pathloom.llm.components import components
+from pathloom.llm.pieces import slices
 
 WORDS = 5            # of an n-gram
 SIMILARITY = 0.8
@@ -76,12 +77,15 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
     """doc_id, key of its n-gram set, size of the set, band hashes (none of an empty set)."""
     def run(batches):
         for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                s = ngram_hashes(t)
-                rows.append((set_key(s), len(s), band_hashes(s, bands) if len(s) else []))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": [r[0] for r in rows],
-                                "n": [r[1] for r in rows], "bands": [r[2] for r in rows]})
+            at = 0
+            for part in slices(pdf["text"].tolist()):
+                rows = []
+                for t in part:
+                    s = ngram_hashes(t)
+                    rows.append((set_key(s), len(s), band_hashes(s, bands) if len(s) else []))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:at + len(part)].array, "key": [r[0] for r in rows],
+                                    "n": [r[1] for r in rows], "bands": [r[2] for r in rows]})
+                at += len(part)
     return texts(docs).mapInPandas(run, "doc_id long, key binary, n long, bands array<long>")
 
 
@@ -89,9 +93,10 @@ def ngram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, ngrams) of the ``wanted`` (doc_id, key), one row a key."""
     def run(batches):
         for pdf in batches:
-            sets = [ngram_hashes(t) for t in pdf["text"]]
-            keep = [set_key(s) == k for s, k in zip(sets, pdf["key"])]
-            yield pd.DataFrame({"key": pdf["key"][keep], "ngrams": [s.view(np.int64) for s, ok in zip(sets, keep) if ok]})
+            keys = iter(pdf["key"].tolist())
+            for part in slices(pdf["text"].tolist()):  # n-grams take more room than their text
+                sets = [(k, s) for s, k in zip(map(ngram_hashes, part), keys) if set_key(s) == k]
+                yield pd.DataFrame({"key": [k for k, _ in sets], "ngrams": [s.view(np.int64) for _, s in sets]})
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     found = texts(docs).withColumnRenamed("doc_id", "i").join(wanted, F.col("i").eqNullSafe(F.col("doc_id")))
