@@ -10,11 +10,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.llm.common import table, texts
-from pathloom.llm.pieces import slices, tokenizer_path
+from pathloom.llm.pieces import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"        # stands for a space inside pieces
@@ -23,7 +24,7 @@ MEMORY = 200_000       # segments a Python worker remembers, some 40 MB
 TOGETHER = 20_000      # new segments merged side by side
 LONG = 48              # symbols from which a segment gets an agenda of its own
 SLOTS = 1 << 20        # of each of the two hash tables of symbol pairs
-SLICE_CHARS = 1_000_000
+SLICE = 1_000_000      # bytes of text, or ids, that a kernel takes and sends off together (one row at least)
 
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
@@ -36,6 +37,18 @@ def one_each(error):
 codecs.register_error("pathloom_one_each", one_each)
 
 
+def parts(sizes: np.ndarray, most: int = SLICE):
+    """(first, rows) of consecutive rows of at most ``most`` in all, one row at least."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
 def slot(keys: np.ndarray, salt: np.uint64) -> np.ndarray:
     return ((keys.view(np.uint64) * salt) >> np.uint64(44)).astype(np.int64)
 
@@ -291,13 +304,12 @@ def encode(docs: DataFrame, path: str, check: bool = True) -> DataFrame:
     def run(batches):
         enc = encoder(path, check)
         for batch in batches:
-            ids, of, at = batch.column(0), batch.column(1).to_pylist(), 0
-            for part in slices(of, SLICE_CHARS):
-                rows = enc.encode(part)
+            for at, n in parts(pc.binary_length(batch.column(1)).to_numpy()):
+                piece = batch.slice(at, n)
+                rows = enc.encode(piece.column(1).to_pylist())
                 offsets = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-                yield pa.record_batch([ids.slice(at, len(part)), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(
+                yield pa.record_batch([piece.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(
                     pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))], ["doc_id", "n_tokens", "ids"])
-                at += len(part)
     return texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ENCODED)
 
 
@@ -312,13 +324,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             batch = batch.select([f.name for f in schema.fields[:-1]])
-            ids = batch.column("ids")
-            flat, ends, sizes = np.asarray(ids.flatten()), 0, ids.value_lengths().fill_null(0).to_pylist()
-            out = []
-            for n in sizes:
-                out.append(enc.decode(flat[ends:ends + n]))
-                ends += n
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.string())], [f.name for f in schema.fields])
+            for at, n in parts(batch.column("ids").value_lengths().fill_null(0).to_numpy()):
+                piece = batch.slice(at, n)
+                flat, end, out = np.asarray(piece.column("ids").flatten()), 0, []
+                for k in piece.column("ids").value_lengths().fill_null(0).to_pylist():
+                    out.append(enc.decode(flat[end:end + k]))
+                    end += k
+                yield pa.record_batch([*piece.columns, pa.array(out, pa.string())], [f.name for f in schema.fields])
     return encoded.mapInArrow(run, schema)
 
 
