@@ -207,8 +207,8 @@ def group_means(spark, sf):
 
 
 @query("target_selection", """
-with r as (select p_brand || '_' || p_type region, count(*)::bigint n from part group by 1
-           having count(*) >= 5),
+with r as (select p_brand || '_' || p_type region, count(*)::bigint n from lineitem join part on p_partkey = l_partkey
+           group by 1 having count(*) >= 50),
 t as (select region, n, case when regexp_matches(region, '(?i)econ') then 'personalized'
         when contains(region, 'PROMO') or contains(region, 'SMALL') then 'conventional'
         when contains(region, 'STAND') then 'control' end target_type from r),
@@ -216,12 +216,13 @@ k as (select *, row_number() over (partition by target_type order by n desc, reg
       where target_type is not null)
 select target_type, region, n, pos::int pos from k where pos <= 10""")
 def target_selection(spark, sf):
-    p = fx.table(spark, sf, "part").select(F.concat_ws("_", "p_brand", "p_type").alias("region"))
+    named = fx.table(spark, sf, "part").select("p_partkey", F.concat_ws("_", "p_brand", "p_type").alias("region"))
+    p = fx.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).join(named, "p_partkey").select("region")
     r = F.col("region")
     any_of = lambda *names: F.exists(F.array(*map(F.lit, names)), lambda s: F.contains(r, s))
     return Q.select_targets(p, "region", {
         "personalized": r.rlike("(?i)econ"), "conventional": any_of("PROMO", "SMALL"),
-        "control": any_of("STAND")}, min_rows=5)
+        "control": any_of("STAND")})
 
 
 DISP_SQL = EMB_SQL + """,

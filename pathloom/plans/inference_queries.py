@@ -236,9 +236,9 @@ def fold_sizes(spark, sf):
 @query("stratified_folds", """
 select r::int repeat, doc_id, quality, ((row_number() over (partition by r, quality
    order by sha256('strat|' || r || '|' || doc_id), doc_id) - 1) % 5)::int fold
-from labels, range(2) t(r)""")
+from labels, range(5) t(r)""")
 def stratified_folds(spark, sf):
-    return Fo.stratified_folds(fx.table(spark, sf, "labels"), "quality", "doc_id", 5, 2)
+    return Fo.stratified_folds(fx.table(spark, sf, "labels"), "quality", "doc_id", FOLDS, REPEATS)
 
 
 # ---- inference --------------------------------------------------------------------
