@@ -13,6 +13,19 @@ HASHES = 2     # unit hashes; 3 * LANES * HASHES counters in all
 UNIT = "[^\\n.,;:!?]{1,64}"
 LOW32, LOW21 = (1 << 32) - 1, (1 << 21) - 1
 ONES = 1 | 1 << 21 | 1 << 42  # the lowest bit of each of the three counters in a long
+TOPS = ONES << 20              # and the highest
+BLOCK = 1 << 20                # units whose counts fit into a counter
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once a row, not at every use inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _add_counters(a: Column, b: Column) -> Column:
+    """Sum of two packed longs, each counter modulo 2^21: no carry leaves a counter."""
+    low = lambda x: x.bitwiseAND(F.lit(~TOPS))
+    return (low(a) + low(b)).bitwiseXOR(a.bitwiseXOR(b).bitwiseAND(F.lit(TOPS)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -22,20 +35,32 @@ def fingerprint(text: Column) -> Column:
     and for each short unit in it 126 hash bits as counters.  Vectors are added up, words
     modulo 2^32, counters modulo 2^21.  So order has no effect, the fingerprint of two texts
     put together as separate paragraphs is the sum of theirs (``joined``), and a paragraph is
-    taken out by subtraction (``without``).  A missing text counts as empty.
+    taken out by subtraction (``without``).  A missing text counts as empty.  Units are added
+    up in blocks that cannot fill a counter, so a text may have any number of them.
     """
     text = F.coalesce(text, F.lit(""))
     paragraphs = F.filter(F.split(text, "\n", -1), lambda p: p != "")
-    digests = F.transform(paragraphs, lambda p: F.sha2(p, 512))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(SUMS - 1)), lambda j: F.aggregate(
-        digests, F.lit(0).cast("long"),
-        lambda a, d: (a + F.conv(F.substr(d, j * 8 + 1, F.lit(8)), 16, 10).cast("long")).bitwiseAND(F.lit(LOW32))))
-    units = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
-    marks = F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j, k=k: F.aggregate(
-        F.transform(units, lambda u: F.xxhash64(u, F.lit(k))), F.lit(0).cast("long"),
-        lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ONES))))
-        for k in range(HASHES)])
-    return F.struct(sums.alias("sums"), marks.alias("marks"), F.size(units).cast("long").alias("units"))
+    sums = _bound(F.transform(paragraphs, lambda p: F.sha2(p, 512)), lambda digests: F.transform(
+        F.sequence(F.lit(0), F.lit(SUMS - 1)), lambda j: F.aggregate(
+            digests, F.lit(0).cast("long"),
+            lambda a, d: (a + F.conv(F.substr(d, j * 8 + 1, F.lit(8)), 16, 10).cast("long")).bitwiseAND(F.lit(LOW32)))))
+
+    def blocks(hashes):
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(hashes) / BLOCK).cast("int")),
+                           lambda i: F.slice(hashes, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def counters(blocked):
+        return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda j: F.aggregate(
+            blocked, F.lit(0).cast("long"), lambda total, block: _add_counters(total, F.aggregate(
+                block, F.lit(0).cast("long"),
+                lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ONES))))))
+
+    def marks(units, k):
+        return _bound(F.transform(units, lambda u: F.xxhash64(u, F.lit(k))), lambda hashes: _bound(blocks(hashes), counters))
+
+    counted = _bound(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda units: F.struct(
+        F.concat(*[marks(units, k) for k in range(HASHES)]).alias("marks"), F.size(units).cast("long").alias("units")))
+    return _bound(counted, lambda c: F.struct(sums.alias("sums"), c["marks"].alias("marks"), c["units"].alias("units")))
 
 
 def _counters(marks: Column) -> Column:
@@ -73,7 +98,9 @@ def as_hex(fp: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated share of equal units, 0 to 1: the cosine of the counters about their means,
-    with a standard error of about 0.09; equal fingerprints give 1, and so do two without units."""
+    with a standard error of about 0.09; equal fingerprints give 1, and so do two without units.
+    Counters of a text with more than 2,097,151 units may have gone round: equality still
+    holds there, its likeness to other texts says nothing."""
     def signed(fp):
         return F.transform(_counters(fp["marks"]), lambda c: (2 * c - fp["units"]).cast("double"))
 

@@ -104,6 +104,36 @@ def test_length_histogram(spark, edges, nothing):
     assert none.count() == 0 and token_counts.quantile(none, 0.5) is None
 
 
+def plain_marks(hashes, units):
+    """Counters of a text added up in Python: ``hashes`` are the unit hashes of each kind, with their counts."""
+    out = []
+    for kind in hashes:
+        for j in range(fingerprint.LANES):
+            lanes = [sum(n for h, n in kind if (h & (1 << 64) - 1) >> (j + 21 * k) & 1) % (1 << 21) for k in range(3)]
+            out.append(sum(c << 21 * k for k, c in enumerate(lanes)))
+    return out
+
+
+def test_fingerprint_counters_at_any_length(spark):
+    many = 2_500_000  # more units than a counter holds
+    rows = [(1, "b\n" + "a." * many, {"a": many, "b": 1}), (2, "a." * many + "\nb", {"a": many, "b": 1}),
+            (3, "one, two; two", {"one": 1, " two": 2}), (4, "", {}),
+            (5, "b", {"b": 1}), (6, "a." * many, {"a": many})]
+    df = spark.createDataFrame([r[:2] for r in rows], "i int, text string")
+    fps = df.repartition(6, "i").select("i", fingerprint.fingerprint(F.col("text")).alias("fp"))
+    got = {r["i"]: r for r in fps.collect()}
+    both = spark.createDataFrame([(got[5]["fp"], got[6]["fp"])], fps.select(
+        F.col("fp").alias("a"), F.col("fp").alias("b")).schema)
+    both = both.select(fingerprint.joined(F.col("a"), F.col("b")).alias("fp")).first()
+    for i, _, units in rows:
+        names = spark.createDataFrame([(u, n) for u, n in units.items()] or [("", 0)], "u string, n long").select(
+            "n", *[F.xxhash64("u", F.lit(k)).alias(f"h{k}") for k in range(fingerprint.HASHES)]).collect()
+        want = plain_marks([[(r[f"h{k}"], r["n"]) for r in names] for k in range(fingerprint.HASHES)], units)
+        assert got[i]["fp"]["marks"] == want and got[i]["fp"]["units"] == sum(units.values())
+    assert got[1]["fp"] == got[2]["fp"] == both["fp"]
+    assert len(set(got[3]["fp"]["marks"])) > 21 and got[3]["fp"]["marks"][:21] != got[3]["fp"]["marks"][21:]
+
+
 def test_fingerprints_are_sums(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("abc .,") for _ in range(rng.randint(1, 90))) for _ in range(12)]
