@@ -310,3 +310,29 @@ def rewired_mask(edges: DataFrame, half: int, tag: str) -> DataFrame:
     j = edges.withColumn("a", F.least("u", "v")).withColumn("b", F.greatest("u", "v")).join(
         broadcast_if_small(materialize(new)), ["a", "b"], "left")
     return j.withColumn("mask", F.when(inside, F.coalesce("linked", F.lit(False))).otherwise(F.col("mask"))).select(*edges.columns)
+
+
+def match_findings(pairs: DataFrame, target: DataFrame, pool: DataFrame, cell: list[str], value: str = "mean_w") -> DataFrame:
+    """Breaches of the rule of :func:`match_greedy`: (finding, n), all 0 for a right match.
+
+    Targets left over while the pool had paths, pool paths used twice or unknown, and pairs
+    whose target had a nearer pool path that no earlier target took.  The last compares the
+    samples of one cell with each other.
+    """
+    order = Window.partitionBy(*cell).orderBy(value, "path_key")
+    t = target.select(*cell, F.col("path_key").alias("target_key"), F.col(value).alias("tv"), F.row_number().over(order).alias("turn"))
+    p = pool.select(*cell, F.col("path_key").alias("pool_key"), F.col(value).alias("pv"))
+    m = materialize(pairs.join(t, [*cell, "target_key"]).join(p, [*cell, "pool_key"], "left"))
+    left = [x.groupBy(*cell).agg(F.count(F.lit(1)).alias(n)) for x, n in ((t, "nt"), (p, "np"), (pairs, "nm"))]
+    short = left[0].join(left[1], cell).join(left[2], cell, "left").agg(
+        F.sum(F.least("nt", "np") - F.coalesce("nm", F.lit(0))).alias("n"))
+    twice = pairs.groupBy(*cell, "pool_key").count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
+    taken = m.select(*cell, "pool_key", F.col("turn").alias("taken"))
+    free = p.join(taken, [*cell, "pool_key"], "left").select(*cell, "pv", "taken")
+    near = m.select(*cell, "turn", "tv", "gap").join(free, cell).where(
+        (F.col("taken").isNull() | (F.col("taken") >= F.col("turn"))) & (F.abs(F.col("pv") - F.col("tv")) < F.col("gap") - 1e-12))
+    found = [("unmatched target", short), ("pool path used twice", twice),
+             ("not in the pool", m.where("pv is null").agg(F.count(F.lit(1)).alias("n"))),
+             ("nearer path was free", near.agg(F.count(F.lit(1)).alias("n")))]
+    out = [x.select(F.lit(name).alias("finding"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")) for name, x in found]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
