@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.columns import arr_mean
 from pathloom.operators import diversity as D
+from pathloom.operators import graph as G
 from pathloom.operators import nulls as N
 from pathloom.operators import permutation as P
 from pathloom.operators import screens as S
@@ -17,7 +18,7 @@ from pathloom.plans.cohort_queries import COLS, EMB_SQL, REFERENCE, vectors
 from pathloom.plans.feature_queries import CELL, SAMPLE_K, sampled
 from pathloom.plans.registry import query
 from pathloom.plans.screen_queries import PARAMS
-from pathloom.session import materialize
+from pathloom.session import broadcast_if_small, materialize
 
 TARGETS_SQL = EMB_SQL + """,
 tv as (select label, case when label <= 2 then 0 when label <= 4 then 1 else 2 end cls, unnest([f1, f2, f3, f4]) x,
@@ -71,8 +72,13 @@ def matched_sets(spark, sf):
         return materialize(best.join(paths, [*CELL, "nodes"]).select(*CELL, "path_key", arr_mean("w").alias("mean_w")))
 
     cut = S.complexity_cut(materialize(fx.paths(spark, sf)), 0.5)
-    cand = sampled(spark, sf, "cand")[2].withColumn("edge_ok", F.transform("w", lambda w: F.lit(True)))
-    scr = S.apply_screen(materialize(cand), "S10", replace(PARAMS, complexity_min=cut))
+    e, _, cand = sampled(spark, sf, "cand")
+    cand = materialize(cand.withColumn("edge_ok", F.transform("w", lambda w: F.lit(True))))
+    on, keys = materialize(G.onset_table(e)), [*CELL, "path_key"]
+    lat = cand.select(*keys, F.posexplode("nodes").alias("i", "node")).join(
+        broadcast_if_small(on), ["seed", "node"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("i", "lat")))["lat"].alias("lat"))  # one entry a node of the path
+    scr = S.apply_screen(materialize(cand.join(lat, keys)), "S10", replace(PARAMS, complexity_min=cut))
     pool = materialize(sampled(spark, sf, "pool", 2 * SAMPLE_K)[2])
     return thinned(materialize(scr.where(F.col("reject_reason").isNull()))), thinned(pool)
 
