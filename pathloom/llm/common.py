@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,12 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def held_out(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", F.expr(f"coalesce({HOLD_OUT}, false)"))
+
+
+def give_back() -> None:
+    """Memory that this Python worker has freed goes back to the system.  Workers are used again,
+    and what one operator leaves in the heap would count against the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim:
+        trim(0)

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import table, texts
+from pathloom.llm.common import give_back, table, texts
 from pathloom.llm.pieces import encoder, slices, tokenizer_path
 
 CAPACITY = 2048   # tokens a window holds
 CUT = 512         # longest piece of what is left of a document behind its full windows
 BIN_DOCS = 2048   # documents packed together, on average
 END_ID = 1        # closes a document
+SLICE_CHARS = 2_000_000  # characters encoded together, one text at least
 VOCABULARY = "byte_bpe_50k.json"
 
 DOC_SCHEMA = "doc_id long, doc_tokens long, crcs array<long>, ids binary"
@@ -82,7 +83,7 @@ def tokenized(docs: DataFrame, vocabulary: str, carry_ids: bool = False) -> Data
         end = np.uint32(END_ID).tobytes()
         for pdf in batches:
             at = 0
-            for part in slices(pdf["text"].tolist()):
+            for part in slices(pdf["text"].tolist(), SLICE_CHARS):
                 rows = []
                 for doc, raw in zip(pdf["doc_id"].iloc[at:at + len(part)], encoder(vocabulary).encode(part)):
                     raw, crcs, p = raw + end, [], 0
@@ -93,6 +94,7 @@ def tokenized(docs: DataFrame, vocabulary: str, carry_ids: bool = False) -> Data
                 at += len(part)
                 yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "crcs", "ids"]).astype(
                     {"doc_id": "Int64"})
+        give_back()
     return texts(docs).mapInPandas(run, DOC_SCHEMA)
 
 

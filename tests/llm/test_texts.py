@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 from collections import Counter
 
@@ -76,6 +77,25 @@ def test_another_order_is_noticed():
         bpe._reassembled(MULTI, True)(docs, pd.DataFrame({"block": [], "entries": []}))
 
 
+def test_ranks_merge_as_the_rules_do():
+    enc = pieces.PieceEncoder(JSON)
+    assert enc.ranks is not None
+    words = [w for w in (enc.tokenizer.decode([i]) for i in range(0, 50256, 3)) if "\ufffd" not in w]
+    rng = random.Random(11)
+    rows = ["".join(rng.choices(words, k=20)) for _ in range(2000)]
+    rows += ["".join(rng.choices(" aetn'sr,.\n\u00e9\u00df\u03c9\u0436\u054a\u4e2d\u0301\u00a012", k=60)) for _ in range(2000)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in enc.encode(rows)] == [
+        e.ids for e in enc.tokenizer.encode_batch(rows, add_special_tokens=False)]
+
+
+def test_rules_out_of_the_order_of_ids_keep_the_library():
+    from tokenizers import Tokenizer
+
+    rules = json.loads(Tokenizer.from_file(JSON).to_str())
+    rules["model"]["merges"][:2] = rules["model"]["merges"][1::-1]
+    assert pieces.rank_encoder(Tokenizer.from_str(json.dumps(rules))) is None
+
+
 def test_pieces_encode_as_whole_texts():
     enc = pieces.PieceEncoder(JSON, memory=50)
     texts = [t or "" for _, t in edge_rows()] + ["  ", " a", "a  b", " \n x", "x\x00 y z", "a \x1c b", "\n\n a\n\n", " 's a 's b"]
