@@ -3,7 +3,8 @@
     python -m pathloom.workflows main_prediction --data DIR --out DIR --check
     python -m pathloom.workflows main_prediction --data DIR --out DIR --execute [--from-step N]
 
-A finished stage is reused; outputs are never overwritten in place.
+A finished stage is reused as long as the content of the tables is the same; with other tables
+another output folder is needed.  Outputs are never overwritten in place.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import argparse
 import sys
 
 from pathloom.plans import load_all
-from pathloom.sources.sinks import exists, stage
+from pathloom.plans.provenance_queries import TABLES
+from pathloom.sources.provenance import content_sums
+from pathloom.sources.sinks import exists, stage, write_once
 
 WORKFLOWS: dict[str, list[str]] = {
     "main_prediction": ["path_support_by_length", "retention_tables", "design_matrix", "fold_manifest",
@@ -56,8 +59,23 @@ def check() -> list[str]:
     return [f"{w}: {s}" for w, st in WORKFLOWS.items() for s in st if s not in queries]
 
 
+def bind_inputs(spark, data: str, out: str) -> None:
+    """The first run of a folder notes the content of its tables, later ones must find it again."""
+    rows = [(t, *content_sums(spark.read.parquet(f"{data}/{t}.parquet")).first()) for t in (*TABLES, "embeddings")]
+    path = f"{out.rstrip('/')}/inputs"
+    if not exists(spark, path):
+        write_once(spark.createDataFrame(rows, "table_name string, n_rows long, w0 long, w1 long, w2 long, w3 long").coalesce(1),
+                   path)
+        return
+    noted = {tuple(r) for r in spark.read.parquet(path).collect()}  # one short row a table
+    changed = sorted(r[0] for r in rows if r not in noted)
+    if changed:
+        raise ValueError(f"{out} holds stages of other content of: {', '.join(changed)}")
+
+
 def run(spark, stages: list[str], data: str, out: str, log=print) -> None:
     queries, _ = load_all()
+    bind_inputs(spark, data, out)
     for name in stages:
         path = f"{out.rstrip('/')}/{name}"
         reused = exists(spark, path)

@@ -122,3 +122,6 @@ def test_workflows(spark, tmp_path, capsys):
     for _ in range(2):
         W.run(spark, ["unit_contributions"], "/root/testdata/sf0.001", str(tmp_path), log.append)
     assert "written" in log[0] and "reused" in log[1]
+    with pytest.raises(ValueError, match="lineitem"):  # stages of other tables are not mixed in
+        W.run(spark, ["unit_contributions"], "/root/testdata/sf0.01", str(tmp_path), log.append)
+    assert len(log) == 2
