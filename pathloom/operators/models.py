@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from pathloom.functions.columns import finite
 from pathloom.operators.folds import grouped_folds
-from pathloom.operators.ordered import exact_quantiles
 from pathloom.session import materialize, side_table
 
 # fixed values: the hyper-parameter grid, 15 alphas (two a decade) x 8 mixing ratios
@@ -239,26 +238,107 @@ def fold_grams(df: DataFrame, assign: DataFrame, group: str, features: list[str]
         "repeat", "outer_fold", "inner", "idx").agg(F.sum("value").alias("value"))
 
 
+def _median_round(rows: DataFrame, edges: dict[int, np.ndarray], want: list[tuple], n_inner: int) -> list:
+    """Where the wanted ranks fall among ``edges``; rows are counted by label and bucket first.
+
+    ``want`` has (f, s, left_out, which, a, r): the r-th training value from ``a`` on, or, if r
+    is None, the middle ones.  Gives (f, s, left_out, which, n, a, b, r): the value lies in
+    [a, b) at r; b follows a where only one value is left.
+    """
+    n_sets, of = max(w[1] for w in want) + 1, {}
+    for w in want:
+        of.setdefault(w[:2], []).append(w[2:])
+
+    def count(batches):
+        acc: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for f, part in pdf.groupby("f", sort=False):
+                lb, nb = np.vstack(part["lab"].to_numpy()) + 1, len(edges[f]) + 1
+                bucket = np.searchsorted(edges[f], part["x"].to_numpy(), side="right")
+                m = acc.setdefault(f, np.zeros((n_sets, (n_inner + 1) * nb), np.int64))
+                for s in range(n_sets):
+                    m[s] += np.bincount(lb[:, s] * nb + bucket, minlength=m.shape[1])
+        for f, m in acc.items():
+            s, at = np.nonzero(m)
+            yield pd.DataFrame({"f": f, "s": s, "label": at // (len(edges[f]) + 1) - 1,
+                                "bucket": at % (len(edges[f]) + 1), "n": m[s, at]})
+
+    def locate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        f, s = int(key[0]), int(key[1])
+        e, out = edges[f], []
+        m = np.zeros((n_inner + 1, len(e) + 1), np.int64)
+        m[pdf["label"] + 1, pdf["bucket"]] = pdf["n"]
+        for left_out, which, a, r in of.get((f, s), []):
+            c = m[1:].sum(axis=0) - (m[1 + left_out] if left_out >= 0 else 0)
+            n = int(c.sum())
+            if not n:
+                continue
+            for name, rank in [(which, r)] if r is not None else [("lo", (n - 1) // 2), ("hi", n // 2)]:
+                start = 0 if a == -math.inf else int(np.searchsorted(e, a)) + 1
+                upto = np.cumsum(c[start:])
+                k = int(np.searchsorted(upto, rank, side="right"))
+                rank -= int(upto[k - 1]) if k else 0
+                k += start
+                out.append((f, s, left_out, name, n, float(e[k - 1]) if k else -math.inf,
+                            float(e[k]) if k < len(e) else math.inf, rank))
+        return pd.DataFrame(out, columns=["f", "s", "left_out", "which", "n", "a", "b", "r"])
+
+    return rows.mapInPandas(count, "f int, s int, label int, bucket int, n long").groupBy(
+        "f", "s", "label", "bucket").agg(F.sum("n").alias("n")).groupBy("f", "s").applyInPandas(
+        locate, "f int, s int, left_out int, which string, n long, a double, b double, r long").collect()
+
+
 def fold_medians(df: DataFrame, assign: DataFrame, group: str, features: list[str], with_inner: bool
                  ) -> DataFrame:
     """Training medians per (repeat, outer fold, left-out inner fold; -1 = whole training set).
 
-    A row belongs to several training sets; the copies exist between an explode
-    and the map-side part of the quantile passes only.
+    A row belongs to many training sets and is never copied: the label of its group in every
+    (repeat, outer fold) goes with it.  Tasks count rows by label and bucket between quantiles
+    of the column; a round keeps the rows of the buckets that hold a median, until a bucket is
+    one value.  There are several times as many buckets as medians, so every round sheds most
+    rows.  To the driver come one row a median and the bucket bounds.
     """
-    keys = ["repeat", "outer_fold", "left_out"]
-    n_inner = (assign.agg(F.max("inner")).first()[0] or 0) + 1 if with_inner else 0
-    held = F.array(*[F.lit(k) for k in range(-1, n_inner)])
-    a = assign.where("inner >= 0").withColumn("left_out", F.explode(held)).where("left_out <> inner")
-    sets = a.groupBy(group).agg(F.collect_list(F.struct(*keys)).alias("sets"))  # few dozen entries
-    sets = side_table(sets)
-    out = None
-    for f in features:
-        v = df.where(finite(F.col(f))).select(group, F.col(f).cast("double").alias("x")).join(sets, group)
-        m = exact_quantiles(v.select("x", F.explode("sets").alias("s")).select("s.*", "x"), keys, "x",
-                            {f: 0.5})
-        out = m if out is None else out.join(m, keys, "full")
-    return out
+    sets = sorted((r[0], r[1]) for r in assign.select("repeat", "outer_fold").distinct().collect())
+    top = assign.agg(F.max("inner")).first()[0]  # no inner fold: no training rows
+    schema = "repeat int, outer_fold int, left_out int, " + ", ".join(f"`{f}` double" for f in features)
+    if top is None or top < 0:
+        return df.sparkSession.createDataFrame([], schema)
+    mine = lambda r, o: F.max(F.when((F.col("repeat") == r) & (F.col("outer_fold") == o), F.col("inner")))
+    lab = side_table(assign.groupBy(group).agg(F.array(*[
+        F.coalesce(mine(*s), F.lit(-1)).cast("int") for s in sets]).alias("lab")))
+    values = df.select(group, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("f"), F.when(finite(F.col(c)), F.col(c).cast("double")).alias("x"))
+        for i, c in enumerate(features)])).alias("v")).select(group, "v.*").where("x is not null")
+    rows, bare = values.join(lab, group).select("f", "x", "lab"), values
+    want = [(f, s, o, "", -math.inf, None) for f in range(len(features)) for s in range(len(sets))
+            for o in range(-1, top + 1 if with_inner else 0)]
+    n_edges = max(256, 4 * 2 * len(sets) * (top + 2 if with_inner else 1))
+    found: dict[tuple, float] = {}
+    while want:
+        cut = {r["f"]: np.array(r["e"]) for r in bare.groupBy("f").agg(F.percentile_approx(
+            "x", [k / n_edges for k in range(n_edges + 1)], 4 * n_edges).alias("e")).collect()}
+        bounds = {f: np.array([w[4] for w in want if w[0] == f and w[4] != -math.inf]) for f in cut}
+        edges = {f: np.unique(np.concatenate([e, np.nextafter(e, math.inf), bounds[f]])) for f, e in cut.items()}
+        got = _median_round(rows, edges, [w for w in want if w[0] in edges], top + 1)
+        open_ = [r for r in got if r["b"] > np.nextafter(r["a"], math.inf)]
+        found |= {(r["f"], r["s"], r["left_out"], r["which"]): r["a"] for r in got if r["b"] <= np.nextafter(r["a"], math.inf)}
+        want = [(r["f"], r["s"], r["left_out"], r["which"], r["a"], r["r"]) for r in open_]
+        if not want:
+            break
+        spans = sorted({(r["f"], r["a"], r["b"]) for r in open_})
+        inside = F.lit(False)
+        for f in edges:
+            own = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for g, a, b in spans if g == f]
+            if own:
+                inside = inside | ((F.col("f") == f) & F.exists(F.array(*own), lambda t: (
+                    F.col("x") >= t["a"]) & (F.col("x") < t["b"])))
+        rows = bare = materialize(rows.where(inside))
+    out: dict[tuple, list] = {}
+    for f, s, o, which in found:
+        if which == "lo":
+            lo, hi = found[f, s, o, "lo"], found[f, s, o, "hi"]
+            out.setdefault((s, o), [None] * len(features))[f] = lo + 0.5 * (hi - lo)
+    return df.sparkSession.createDataFrame([(*map(int, sets[s]), o, *v) for (s, o), v in sorted(out.items())], schema)
 
 
 def elastic_net_cv(df: DataFrame, assign: DataFrame, group: str, features: list[str], y: str,

@@ -266,3 +266,26 @@ def test_nearest_grid_equals_brute_force(spark):
     for limit in (0, 1000):
         got = {r["v"]: r["name"] for r in Geo.nearest(points, cents, "v", "name", limit).collect()}
         assert got == {i: f"c{k}" for i, k in enumerate(d)}
+
+
+def test_fold_medians_send_one_label_a_set_and_match_sorting(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    assign = [(r, o, g, -1 if (g + r) % 5 == o else int(rng.integers(0, 5))) for r in range(5) for o in range(5) for g in range(60)]
+    x = [(int(rng.integers(0, 60)), None if rng.random() < 0.1 else float(rng.normal()) if rng.random() < 0.4 else float(rng.integers(-2, 3)))
+         for _ in range(4000)]
+    a = spark.createDataFrame(assign, "repeat int, outer_fold int, grp int, inner int")
+    df = spark.createDataFrame([(g, v, None if g < 59 else 1.0) for g, v in x], "grp int, v double, rare double")
+    sent, whole = [], Mo.side_table
+    monkeypatch.setattr(Mo, "side_table", lambda t: sent.append(t) or whole(t))
+    got = {tuple(r[:3]): (r["v"], r["rare"]) for r in Mo.fold_medians(df, a, "grp", ["v", "rare"], True).collect()}
+    want = {}
+    for r in range(5):
+        for o in range(5):
+            label = {g: i for q, p, g, i in assign if (q, p) == (r, o)}
+            for left in range(-1, 5):
+                keep = [(g, v) for g, v in x if label[g] >= 0 and label[g] != left]
+                want[r, o, left] = (np.median([v for _, v in keep if v is not None]), 1.0 if any(g == 59 for g, _ in keep) else None)
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    def numbers(v):
+        return sum(map(numbers, v)) if isinstance(v, (list, tuple)) else 1
+    assert max(numbers(tuple(row)) for t in sent for row in t.collect()) <= 26  # the group and a label a set
