@@ -6,6 +6,10 @@ do not depend on partitioning, order or lost executors.
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +18,9 @@ from pathloom.operators.metrics import r2_from_sums, sufficient_stats
 from pathloom.operators.ordered import exact_quantiles, row_position, scan, value_ranks
 from pathloom.session import broadcast_if_small, materialize, side_table
 
-TASK_PICKS = 2_000_000  # picks that a task of the mean-difference bootstrap makes
+TASK_PICKS = 2_000_000  # picks that a task of a bootstrap makes
+PACKED = 48_000_000  # bytes of values that a bootstrap sends with its draws; beyond, picks are joined
+SLOTS = 100_000  # slots of a class whose picks are held together
 
 BITS = 256  # signs served by one SHA-256
 
@@ -202,9 +208,121 @@ def resample_counts(df: DataFrame, key: str, label: str, draws: int, tag: str) -
     return m.join(placed, [label, "idx"]).select("draw", key, "m")
 
 
+def slot_picks(tag: str, draw: int, label: str, n: int):
+    """Rows 0..n-1 that the n slots of a class pick in a draw, ``SLOTS`` at a time: ``hash_mod``
+    of (tag, draw, label, slot)."""
+    if not _TAILS:
+        _TAILS.extend(([b"%d" % i for i in range(SLOTS)], [b"%05d" % i for i in range(SLOTS)]))
+    sha = hashlib.sha256
+    for at in range(0, n, SLOTS):
+        head = f"{tag}|{draw}|{label}|{at // SLOTS or ''}".encode()
+        digests = b"".join([sha(head + t).digest() for t in _TAILS[at > 0][:n - at]])
+        yield ((np.frombuffer(digests, ">u8")[::4] >> np.uint64(12)) % np.uint64(n)).astype(np.int64)
+
+
+_TAILS: list[list[bytes]] = []  # digits of the slots, made once a Python worker
+
+
+def packed_blocks(placed: DataFrame, keys: list[str], idx: str, value: str, dtype: str) -> DataFrame:
+    """(keys, block, data): values in the order of ``idx`` as bytes, ``SLOTS`` to a block."""
+    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = pdf.sort_values(idx)[value].to_numpy(dtype).tobytes()
+        return pd.DataFrame([(*key, data)], columns=[*keys, "block", "data"])
+
+    blocks = placed.withColumn("block", F.floor(F.col(idx) / SLOTS).cast("int"))
+    schema = blocks.select(*keys, "block").schema.add("data", "binary")
+    return blocks.groupBy(*keys, "block").applyInPandas(pack, schema)
+
+
+def on_draws(blocks: DataFrame, rows: int, draws: int, run, schema) -> DataFrame:
+    """``run(first draw, end, blocks)`` in tasks that share the draws out; a draw is one task's.
+
+    ``blocks`` are short of ``PACKED`` bytes in all and reach every task; what a task makes is
+    never shuffled but for the rows that ``run`` gives.
+    """
+    spark = blocks.sparkSession
+    parts = min(draws, max(2 * spark.sparkContext.defaultParallelism, rows * draws // TASK_PICKS))
+    shares = spark.range(0, parts, 1, parts).select(
+        F.expr(f"cast(id * {draws} div {parts} as int)").alias("first"),
+        F.expr(f"cast((id + 1) * {draws} div {parts} as int)").alias("end"))
+    whole = blocks.agg(F.collect_list(F.struct(*blocks.columns)).alias("blocks"))
+
+    def each(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                if len(r.blocks):
+                    yield run(r.first, r.end, r.blocks)
+
+    return shares.join(F.broadcast(whole)).mapInPandas(each, schema)
+
+
 def auc_bootstrap(scores: DataFrame, key: str, label: str, draws: int, tag: str,
                   keys: list[str] | None = None) -> DataFrame:
-    """(keys, draw, auc): every resample's AUC; all models share the resamples."""
+    """(keys, draw, auc): every resample's AUC; all models share the resamples.
+
+    A task makes whole draws on the rank of every row's distinct score, so a pick is a hash and
+    a count in an array.  Beyond ``PACKED`` bytes of ranks, or if a key repeats within a model,
+    the picks are joined instead.
+    """
+    keys = keys or []
+    scores = scores.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    per = scores.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(
+        F.lit(0), *keys)).alias("models"), F.min(label).alias("low"), F.max(label).alias("high")).agg(
+        F.count(F.lit(1)).alias("n_keys"), F.max((F.col("n") > F.col("models")) | (F.col("low") != F.col("high"))).alias("odd")).first()
+    models = side_table(scores.select(*keys).distinct()) if keys else None
+    if per["odd"] or 4 * (per["n_keys"] or 0) * (models.count() if keys else 1) > PACKED:
+        return joined_auc_bootstrap(scores, key, label, draws, tag, keys)
+    ranks = row_position(scores.select(*keys, "score").distinct(), keys, ["score"], "rank")
+    same = F.col("score").eqNullSafe(F.col("r_score"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"r_{k}"))
+    ranked = scores.join(ranks.select("rank", *[F.col(c).alias(f"r_{c}") for c in (*keys, "score")]), same).select(
+        *keys, key, "rank")
+    placed = materialize(row_position(scores.select(key, label).distinct(), [label], [key]).select(
+        key, label, (F.col("pos") - 1).alias("idx")))
+    every = placed.crossJoin(models) if keys else placed  # a model may lack a key
+    mine = F.col(key) == F.col("r_key")
+    for k in keys:
+        mine = mine & F.col(k).eqNullSafe(F.col(f"m_{k}"))
+    both = every.join(ranked.select(F.col(key).alias("r_key"), "rank", *[F.col(k).alias(f"m_{k}") for k in keys]), mine, "left")
+    blocks = packed_blocks(both.select(*keys, label, "idx", F.coalesce("rank", F.lit(0)).cast("int").alias("rank")),
+                           [*keys, label], "idx", "rank", "int32")
+    blocks = blocks.select(*keys, F.col(label).cast("string").alias("label"), F.col(label).cast("double").alias("weight"),
+                           "block", "data")
+    schema = scores.select(*keys).schema.add("draw", "integer").add("auc", "double")
+
+    def run(first, end, blocks):
+        parts: dict[tuple, dict] = {}
+        for b in sorted(blocks, key=lambda b: b["block"]):
+            parts.setdefault(tuple(b[k] for k in keys), {}).setdefault((b["label"], b["weight"]), []).append(b["data"])
+        tables = {m: {c: np.frombuffer(b"".join(d), np.int32) for c, d in of.items()} for m, of in parts.items()}
+        size = {m: 1 + max(t.max() for t in of.values()) for m, of in tables.items()}
+        classes = {c: len(t) for of in tables.values() for c, t in of.items()}
+        out = []
+        for draw in range(first, end):
+            pos = {m: np.zeros(n) for m, n in size.items()}
+            n_at = {m: np.zeros(n) for m, n in size.items()}
+            for c, n in classes.items():
+                for picks in slot_picks(tag, draw, c[0], n):
+                    for m, of in tables.items():
+                        found = np.bincount(of[c][picks], minlength=size[m])
+                        n_at[m] += found
+                        pos[m] += c[1] * found
+            for m in tables:
+                n, p = n_at[m][1:], pos[m][1:]  # rank 0: the model has no score of the key
+                if not n.sum():
+                    continue
+                ranked_sum = (p * (np.cumsum(n) - n + (n + 1) / 2.0)).sum()
+                np_, nn = p.sum(), (n - p).sum()
+                out.append((*m, draw, (ranked_sum - np_ * (np_ + 1) / 2.0) / (np_ * nn) if np_ * nn else None))
+        return pd.DataFrame(out, columns=[*keys, "draw", "auc"])
+
+    return on_draws(blocks, placed.count(), draws, run, schema)
+
+
+def joined_auc_bootstrap(scores: DataFrame, key: str, label: str, draws: int, tag: str,
+                  keys: list[str] | None = None) -> DataFrame:
+    """As :func:`auc_bootstrap` for tables of any size: every pick is a row that is joined."""
     keys = keys or []
     one = scores.select(key, label).dropDuplicates([key])
     m = resample_counts(one, key, label, draws, tag)
@@ -263,12 +381,18 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> Data
 
 def mean_difference_bootstrap(df: DataFrame, key: str, label: str, value: str, draws: int, tag: str
                               ) -> DataFrame:
-    """(draw, delta): mean of class 1 minus mean of class 0 over stratified resamples."""
+    """(draw, delta): mean of class 1 minus mean of class 0 over stratified resamples.
+
+    A task makes whole draws on the packed values; beyond ``PACKED`` bytes picks are joined.
+    """
     placed = materialize(row_position(df.select(key, label, value), [label], [key]).withColumn(
         "idx", F.col("pos") - 1).select(label, "idx", value))
+    rows = placed.count()
+    if 9 * rows <= PACKED:
+        return packed_mean_differences(placed, label, value, rows, draws, tag)
     n = placed.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     parts = max(2 * df.sparkSession.sparkContext.defaultParallelism,
-                placed.count() * draws // TASK_PICKS)
+                rows * draws // TASK_PICKS)
     slots = placed.drop(value).join(side_table(n), label).repartition(parts).withColumn(
         "draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picks = slots.select("draw", label, hash_mod(
@@ -278,3 +402,34 @@ def mean_difference_bootstrap(df: DataFrame, key: str, label: str, value: str, d
     w = lambda c, x: F.sum(F.when(F.col(label) == c, x))
     mean = lambda c: w(c, F.col(value)) / w(c, F.lit(1))
     return got.groupBy("draw").agg((mean(1) - mean(0)).alias("delta"))
+
+
+def packed_mean_differences(placed: DataFrame, label: str, value: str, rows: int, draws: int, tag: str) -> DataFrame:
+    """(draw, delta) from rows (label, idx, value) that fit a task."""
+    known = placed.where(F.col(label).isNotNull()).select(label, "idx", F.struct(
+        F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.col(value).isNotNull().cast("double")).alias("v"))
+    sides = {c: packed_blocks(known.select(label, "idx", F.col(f"v.col{i}").alias("x")), [label], "idx", "x", t)
+             for i, (c, t) in enumerate((("value", "float64"), ("seen", "int8")), 1)}
+    blocks = sides["value"].join(sides["seen"].withColumnRenamed("data", "seen"), [label, "block"]).select(
+        F.col(label).cast("string").alias("label"), F.col(label).cast("double").alias("class"), "block", "data", "seen")
+
+    def run(first, end, blocks):
+        of: dict[tuple, list] = {}
+        for b in sorted(blocks, key=lambda b: b["block"]):
+            of.setdefault((b["label"], b["class"]), []).append((b["data"], b["seen"]))
+        of = {c: [np.frombuffer(b"".join(d), t) for d, t in zip(zip(*v), (np.float64, np.int8))] for c, v in of.items()}
+        out = []
+        for draw in range(first, end):
+            mean = {}
+            for (name, c), (x, seen) in of.items():
+                if c in (0, 1):
+                    total, some = 0.0, False
+                    for picks in slot_picks(tag, draw, name, len(x)):
+                        total += x[picks].sum()
+                        some = some or seen[picks].any()
+                    mean[c] = total / len(x) if some else None
+            both = [mean.get(c) for c in (1, 0)]
+            out.append((draw, None if None in both else both[0] - both[1]))
+        return pd.DataFrame(out, columns=["draw", "delta"])
+
+    return on_draws(blocks, rows, draws, run, "draw int, delta double")

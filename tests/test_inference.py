@@ -173,3 +173,35 @@ def test_bootstrap_is_paired_and_centred(spark):
     same = I.paired_delta(I.cluster_bootstrap(
         df.withColumn("y_pred", F.col("y_true") + 0.1), "seed", 20, "b"), "A", "B")
     assert same.where("delta <> 0").isEmpty()
+
+
+def test_bootstraps_keep_picks_in_their_task_and_match_joined_picks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, int(k % 3 == 0), m, None if rng.random() < 0.1 else float(rng.randrange(12)))
+            for k in range(150) for m in ("a", "b", None) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "k int, y int, model string, score double")
+    packed = I.auc_bootstrap(df, "k", "y", 30, "t", ["model"])
+    diff = I.mean_difference_bootstrap(df.where("model = 'a'"), "k", "y", "score", 30, "t")
+    for frame in (packed, diff):
+        assert "hashpartitioning(draw" not in frame._jdf.queryExecution().toString()
+    joined = I.joined_auc_bootstrap(df, "k", "y", 30, "t", ["model"])
+    rows_of = lambda f: {(r["model"], r["draw"]): r["auc"] for r in f.collect()}
+    got, want = rows_of(packed), rows_of(joined)
+    assert got.keys() == want.keys() and len(want) == 90 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    small = {r["draw"]: r["delta"] for r in diff.collect()}
+    monkeypatch.setattr(I, "PACKED", 0)
+    large = {r["draw"]: r["delta"] for r in I.mean_difference_bootstrap(
+        df.where("model = 'a'"), "k", "y", "score", 30, "t").collect()}
+    assert len(large) == 30 and all(abs(small[d] - large[d]) < 1e-12 for d in large)
+
+
+def test_slot_picks_are_the_hashes_across_blocks():
+    import hashlib
+
+    n = I.SLOTS + 1_500
+    got = [int(x) for part in I.slot_picks("t", 7, "1", n) for x in part]
+    for slot in (0, 9, I.SLOTS - 1, I.SLOTS, I.SLOTS + 1, n - 1):
+        assert got[slot] == int(hashlib.sha256(f"t|7|1|{slot}".encode()).hexdigest()[:13], 16) % n
+    assert len(got) == n
