@@ -10,10 +10,8 @@ from pathloom.operators.validation import KEY
 
 def oof_wide(oof: DataFrame, arms: list[str]) -> DataFrame:
     """One row per key with a ``<arm>_pred`` column; the arm list is fixed, so no extra scan."""
-    w = oof.groupBy(*KEY).pivot("arm", arms).agg(F.min("y_pred"))
-    y = oof.groupBy(*KEY).agg(F.min("y_true").alias("y_true"))
-    wide = w.select(*KEY, *[F.col(f"`{a}`").alias(f"{a.lower()}_pred") for a in arms])
-    return y.join(wide, KEY)
+    return oof.groupBy(*KEY).agg(F.min("y_true").alias("y_true"), *[
+        F.min(F.when(F.col("arm") == a, F.col("y_pred"))).alias(f"{a.lower()}_pred") for a in arms])
 
 
 def oof_long(wide: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ REPEATS, FOLDS = fx.REPEATS, fx.FOLDS
 DRAWS_SIGN, DRAWS_BOOT, DRAWS_AUC, DRAWS_NULL = 100_000, 10_000, 1_000, 10_000
 DRAWS_MEAN = 10_000  # of the mean-difference bootstrap
 ARMS = ["C4", "C8R"]
+ORDERS_A_TASK = 100_000  # ten rows each once repeats and arms are dealt out
 
 OOF_SQL = """
 smp as (
@@ -46,17 +47,19 @@ WITH_OOF = "with " + OOF_SQL
 
 
 def samples(spark, sf):
-    # quantities are summed before the join: one row per order moves
-    q = fx.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.sum("l_quantity").alias("y_true"))
+    """One row per order, hash-partitioned by it: a task has some ``ORDERS_A_TASK`` orders, and
+    later groups by sample find their rows together."""
     o = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
     c = fx.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("seed"))
-    return q.join(o, q.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).select(
-        F.col("o_orderkey").alias("sample_id"), "seed", "y_true")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), o.count() // ORDERS_A_TASK)
+    q = fx.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity").repartition(tasks, "l_orderkey").groupBy(
+        "l_orderkey").agg(F.sum("l_quantity").alias("y_true"))
+    o = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "seed").repartition(tasks, "o_orderkey")
+    return q.join(o, q.l_orderkey == o.o_orderkey).select(F.col("o_orderkey").alias("sample_id"), "seed", "y_true")
 
 
-def wide(spark, sf):
-    s = samples(spark, sf).withColumn(
+def wide(spark, sf, of=None):
+    s = (samples(spark, sf) if of is None else of).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     k, r = F.col("sample_id"), F.col("repeat")
     return s.select(
@@ -66,8 +69,8 @@ def wide(spark, sf):
         (F.col("y_true") + 4.0 * ((k * 11 + r * 3) % 25 - 12)).alias("c4_pred"))
 
 
-def oof(spark, sf):
-    w = wide(spark, sf)
+def oof(spark, sf, of=None):
+    w = wide(spark, sf, of)
     arm = F.explode(F.array(F.struct(F.lit("C4").alias("arm"), F.col("c4_pred").alias("y_pred")),
                             F.struct(F.lit("C8R").alias("arm"), F.col("c8r_pred").alias("y_pred"))))
     return w.select("sample_id", "seed", "repeat", "outer_fold", "y_true", arm.alias("e")).select(
@@ -361,11 +364,13 @@ from r a join r b on a.grp = b.grp and a.repeat = b.repeat
 where a.arm = 'C8R' and b.arm = 'C4' group by a.grp""")
 def contrasts_by_length(spark, sf):
     y = F.col("y_true")
-    o = oof(spark, sf).withColumn("grp", F.when(y < 50, 1).when(y < 100, 2).otherwise(3))
-    o = materialize(o)
-    ok = o.groupBy("grp").agg(F.countDistinct("sample_id").alias("nc"),
-                              F.countDistinct("seed").alias("ns")).where("nc >= 20 and ns >= 10")
-    s = Me.sufficient_stats(o.join(ok, "grp", "left_semi"), ["grp", "arm", "repeat"]).withColumn(
+    length = F.when(y < 50, 1).when(y < 100, 2).otherwise(3).alias("grp")
+    one = materialize(samples(spark, sf))  # repeats and arms repeat these rows
+    many = lambda c, least: one.select(length, c).distinct().groupBy("grp").agg(
+        F.count(c).alias("n")).where(F.col("n") >= least).select("grp")
+    ok = many("sample_id", 20).join(many("seed", 10), "grp")
+    o = oof(spark, sf, one).select("*", length)
+    s = Me.sufficient_stats(o.join(F.broadcast(ok), "grp", "left_semi"), ["grp", "arm", "repeat"]).withColumn(
         "r2", Me.r2_from_sums(F.col("n"), F.col("sy"), F.col("syy"), F.col("sse")))
     per = s.groupBy("grp", "repeat").agg(
         (F.min(F.when(F.col("arm") == "C8R", F.col("r2")))

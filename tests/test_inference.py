@@ -205,3 +205,21 @@ def test_slot_picks_are_the_hashes_across_blocks():
     for slot in (0, 9, I.SLOTS - 1, I.SLOTS, I.SLOTS + 1, n - 1):
         assert got[slot] == int(hashlib.sha256(f"t|7|1|{slot}".encode()).hexdigest()[:13], 16) % n
     assert len(got) == n
+
+
+def test_samples_spread_over_more_tasks_as_orders_grow(spark, monkeypatch):
+    from pathloom.plans import inference_queries as iq
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(iq, "ORDERS_A_TASK", 50)
+    tasks = spark.read.parquet(f"{sf}/orders.parquet").count() // 50
+    for name in ("oof_pivot", "pooled_arm"):
+        df = getattr(iq, name)(spark, sf)
+        assert df.rdd.getNumPartitions() == tasks > 8
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(sample_id" not in plan  # groups find their rows together
+    read = []
+    whole = iq.materialize
+    monkeypatch.setattr(iq, "materialize", lambda df: read.append(df.count()) or whole(df))
+    iq.contrasts_by_length(spark, sf)
+    assert read == [iq.samples(spark, sf).count()]  # not ten rows an order
