@@ -35,9 +35,9 @@ def sample_sql(tag: str, name: str) -> str:
 FEAT_SQL = WITH_PATH + sample_sql("cand", "fs")
 
 
-def sampled(spark, sf, tag="cand", k=SAMPLE_K):
-    """(edges, DAG, sampled paths with edge attributes)."""
-    e, d = fx.dag(spark, sf)
+def sampled(spark, sf, tag="cand", k=SAMPLE_K, graph=None):
+    """(edges, DAG, sampled paths with edge attributes); ``graph`` are edges and DAG if known."""
+    e, d = graph or fx.dag(spark, sf)
     p = G.sampled_paths(d, fx.MAX_LEN, k, tag)
     got = G.gather(p, e, CELL, ["w", "tract", *fx.METRICS])
     return e, d, got.withColumn("sample_id", F.concat_ws("|", *CELL)).withColumn(

@@ -515,8 +515,9 @@ def circuit_counts(paths, members):
 def enrichment(spark, sf):
     members = materialize(fx.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("circuit")))
-    _, _, real = sampled(spark, sf, "cand")
-    _, _, pool = sampled(spark, sf, "null")
+    graph = fx.dag(spark, sf)  # the shipments are read once for both samples
+    _, _, real = sampled(spark, sf, "cand", graph=graph)
+    _, _, pool = sampled(spark, sf, "null", graph=graph)
     e = I.enrichment(materialize(circuit_counts(real, members)), circuit_counts(pool, members),
                      "sample_id", "circuit", DRAWS_NULL, "enr")
     return e.select("circuit", "n_paths", F.round("observed", 9).alias("observed"),

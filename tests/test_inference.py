@@ -223,3 +223,14 @@ def test_samples_spread_over_more_tasks_as_orders_grow(spark, monkeypatch):
     monkeypatch.setattr(iq, "materialize", lambda df: read.append(df.count()) or whole(df))
     iq.contrasts_by_length(spark, sf)
     assert read == [iq.samples(spark, sf).count()]  # not ten rows an order
+
+
+def test_enrichment_reads_the_shipments_once(spark, monkeypatch):
+    from pathloom.plans import inference_queries as iq
+
+    built, whole = [], iq.fx.edges
+    monkeypatch.setattr(iq.fx, "edges", lambda *a: built.append(a) or whole(*a))
+    monkeypatch.setattr(iq.I, "enrichment", lambda *a: spark.createDataFrame(
+        [], "circuit int, n_paths long, observed double, null_mean double, ratio double, p double"))
+    iq.enrichment(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1
