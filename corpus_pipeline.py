@@ -16,6 +16,16 @@ from pathloom.llm.pieces import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+# bytes of an Arrow batch, unless the session names them itself: 64 MB of whole texts, Spark's
+# default, are held several times over by an executor and its Python workers
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def _small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_BYTES[0], None) is None:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``keep`` (doc_id), the rows themselves unchanged."""
     return docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")),
@@ -24,12 +34,14 @@ def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good; rows pass through the scorer whole."""
+    _small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.with_scores(docs.select(*COLUMNS), model).where(F.col("score") >= quality.ACCEPT).select(*COLUMNS)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows with a score of ``LEAST_SCORE`` at least."""
+    _small_batches(spark)
     net = language_id.train(docs)
     return language_id.with_language(docs.select(*COLUMNS), net).where(
         (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= language_id.LEAST_SCORE)).select(*COLUMNS)
@@ -45,12 +57,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that similarity links join, the one with the least doc_id."""
+    _small_batches(spark)
     found = ngram_join.similarity_join(docs)
     return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id"))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of what is left in windows of 2048 tokens."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer_path(packing.VOCABULARY)).drop("ids")
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 import ctypes
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.session import ensure_checkpoint_dir
 
+PART_BYTES = 2_000_000  # of texts that a kernel takes together, one text at least
 HOLD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"
 
 
@@ -48,3 +51,32 @@ def give_back() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
     if trim:
         trim(0)
+
+
+def lean(run):
+    """The kernel ``run`` over batches, with freed memory given back before and after it.  What the
+    task before held is only freed when its worker has ended it, so the next one gives that back."""
+    def whole(batches):
+        give_back()
+        yield from run(batches)
+        give_back()
+    return whole
+
+
+def parts(sizes: np.ndarray, most: int = PART_BYTES):
+    """(first, rows) of consecutive rows of at most ``most`` in all, one row at least."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and held + n > most:
+            yield first, i - first
+            first, held = i, 0
+        held += n
+    if len(sizes) > first:
+        yield first, len(sizes) - first
+
+
+def text_parts(batches):
+    """Arrow ``batches`` in slices of at most ``PART_BYTES`` of text, one row at least."""
+    for batch in batches:
+        for at, n in parts(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)):
+            yield batch.slice(at, n)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pathloom.llm.common import HOLD_OUT, held_out, table, texts
+from pathloom.llm.common import HOLD_OUT, held_out, lean, table, text_parts, texts
 
 WINDOW = 512        # bytes of a window; the last one of a text is filled up with zeros
 WIDTHS = (2, 3, 4)  # bytes a filter sees
@@ -19,7 +19,7 @@ FILTERS = 16        # of each width
 SAMPLE = 600        # documents of each language that the network is fitted on, at most
 SAMPLE_WINDOWS = 4  # windows of each of them
 EPOCHS, BATCH, RATE = 10, 64, 0.02
-AT_ONCE = 256       # windows scored together
+AT_ONCE = 64        # windows scored together; a filter's responses to them are 2 MB
 UNDETERMINED = "und"
 LEAST_SCORE = 0.5   # of a document that the pipeline keeps
 LETTER = regex.compile(r"\p{L}")
@@ -203,13 +203,13 @@ def with_language(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     """``docs`` with lang_pred and score; any other columns stay as they are."""
     def run(batches):
         score = net.scorer() if net else None
-        for batch in batches:
+        for batch in text_parts(batches):
             texts_ = [t or "" for t in batch.column("text").to_pylist()]
             lang, p = predict(texts_, net, score) if net else ([UNDETERMINED] * len(texts_), [0.0] * len(texts_))
             yield batch.append_column("lang_pred", pa.array(lang, pa.string())).append_column(
                 "score", pa.array(p, pa.float64()))
     rest = docs.drop("lang_pred", "score")
-    return rest.mapInArrow(run, StructType(rest.schema.fields + [
+    return rest.mapInArrow(lean(run), StructType(rest.schema.fields + [
         StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 

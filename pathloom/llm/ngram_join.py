@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import give_back, table, texts, written
+from pathloom.llm.common import lean, table, texts, written
 from pathloom.llm.components import components
 from pathloom.llm.pieces import slices
 
@@ -86,8 +86,7 @@ def signatures(docs: DataFrame, bands: int) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at:at + len(part)].array, "key": [r[0] for r in rows],
                                     "n": [r[1] for r in rows], "bands": [r[2] for r in rows]})
                 at += len(part)
-        give_back()
-    return texts(docs).mapInPandas(run, "doc_id long, key binary, n long, bands array<long>")
+    return texts(docs).mapInPandas(lean(run), "doc_id long, key binary, n long, bands array<long>")
 
 
 def ngram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -98,11 +97,10 @@ def ngram_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(pdf["text"].tolist()):  # n-grams take more room than their text
                 sets = [(k, s) for s, k in zip(map(ngram_hashes, part), keys) if set_key(s) == k]
                 yield pd.DataFrame({"key": [k for k, _ in sets], "ngrams": [s.view(np.int64) for _, s in sets]})
-        give_back()
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     found = texts(docs).withColumnRenamed("doc_id", "i").join(wanted, F.col("i").eqNullSafe(F.col("doc_id")))
-    return found.select("key", "text").mapInPandas(run, "key binary, ngrams array<long>").dropDuplicates(["key"])
+    return found.select("key", "text").mapInPandas(lean(run), "key binary, ngrams array<long>").dropDuplicates(["key"])
 
 
 def overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.llm.common import give_back, table, texts
-from pathloom.llm.pieces import encoder, slices, tokenizer_path
+from pathloom.llm.common import lean, table, texts
+from pathloom.llm.pieces import encoder, forget, slices, tokenizer_path
 
 CAPACITY = 2048   # tokens a window holds
 CUT = 512         # longest piece of what is left of a document behind its full windows
@@ -94,8 +94,8 @@ def tokenized(docs: DataFrame, vocabulary: str, carry_ids: bool = False) -> Data
                 at += len(part)
                 yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "crcs", "ids"]).astype(
                     {"doc_id": "Int64"})
-        give_back()
-    return texts(docs).mapInPandas(run, DOC_SCHEMA)
+        forget()
+    return texts(docs).mapInPandas(lean(run), DOC_SCHEMA)
 
 
 def pack_bin(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -128,12 +128,18 @@ _encoders: dict[str, PieceEncoder] = {}
 
 
 def encoder(path: str) -> PieceEncoder:
-    """One encoder a Python worker and vocabulary; workers are used again for later tasks."""
+    """One encoder a task and vocabulary: functions travel by value, so a later task of the same
+    worker has a memory of its own."""
     if path not in _encoders:
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
 
 
+def forget() -> None:
+    """The encoders of this task go, before its worker takes the next one."""
+    _encoders.clear()
+
+
 def slices(items: list[str], most_chars: int = 4_000_000):
     """Consecutive slices of at most ``most_chars`` characters, one text at least."""
     out, chars = [], 0

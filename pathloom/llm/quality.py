@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pathloom.llm.common import HOLD_OUT, held_out, table, texts
+from pathloom.llm.common import HOLD_OUT, held_out, lean, table, text_parts, texts
 
 SAMPLE = 4000          # labelled texts of each kind that the model is fitted on, at most
 SAMPLE_CHARS = 80_000_000  # of all texts of a kind: beyond them, fewer whole texts
@@ -157,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame) -> SizeModel:
 def with_scores(docs: DataFrame, model: SizeModel) -> DataFrame:
     """``docs`` with a column score; any other columns stay as they are."""
     def run(batches):
-        for batch in batches:
+        for batch in text_parts(batches):
             texts_ = [t or "" for t in batch.column("text").to_pylist()]
             yield batch.append_column("score", pa.array(model.score(texts_), pa.float64()))
     rest = docs.drop("score")
-    return rest.mapInArrow(run, StructType(rest.schema.fields + [StructField("score", DoubleType())]))
+    return rest.mapInArrow(lean(run), StructType(rest.schema.fields + [StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
