@@ -28,6 +28,7 @@ L1_RATIOS = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0)
 DEFAULT_FIT = (0.01, 0.5)  # fixed value: used when a training set has one group only
 TOLERANCE, MAX_SWEEPS = 1e-8, 200_000
 TIE = 1e-12
+UNROLLED = 16  # columns whose terms are written out; more of them go through arrays
 
 
 def augmented(features: list[str], y: str) -> list[Column]:
@@ -196,6 +197,25 @@ def hashed_inner_folds(outer: DataFrame, group: str, n_inner: int, n_outer: int,
         F.col("test_fold") == F.col("outer_fold"), -1).otherwise(inner).alias("inner"))
 
 
+def outer_sets(outer: DataFrame, group: str, n_outer: int) -> DataFrame:
+    """(repeat, outer_fold, group, inner) for fits without inner folds: -1 marks the outer test
+    groups, 0 the others."""
+    each = outer.withColumn("outer_fold", F.explode(F.sequence(F.lit(0), F.lit(n_outer - 1))))
+    return each.select("repeat", "outer_fold", group, F.when(
+        F.col("test_fold") == F.col("outer_fold"), -1).otherwise(0).alias("inner"))
+
+
+def set_labels(assign: DataFrame, group: str) -> tuple[DataFrame, list[tuple[int, int]], int]:
+    """(group, lab) with the inner label of the group in every (repeat, outer fold), -1 where it
+    has none, one row a group and written once; those sets; the largest inner label."""
+    seen = assign.groupBy("repeat", "outer_fold").agg(F.max("inner").alias("top")).collect()  # repeats x outer folds
+    sets = sorted((r[0], r[1]) for r in seen)
+    mine = lambda r, o: F.max(F.when((F.col("repeat") == r) & (F.col("outer_fold") == o), F.col("inner")))
+    lab = side_table(assign.groupBy(group).agg(F.array(*[
+        F.coalesce(mine(*s), F.lit(-1)).cast("int") for s in sets]).alias("lab")))
+    return lab, sets, max((r["top"] for r in seen if r["top"] is not None), default=-1)
+
+
 def fold_labels(assign: DataFrame, group: str) -> tuple[DataFrame, list[tuple[int, int]]]:
     """(group, lab) with the inner label of the group in every (repeat, outer fold), and
     the list of those sets (repeats x outer folds)."""
@@ -205,18 +225,19 @@ def fold_labels(assign: DataFrame, group: str) -> tuple[DataFrame, list[tuple[in
     return lab, sets
 
 
-def fold_grams(df: DataFrame, assign: DataFrame, group: str, features: list[str], y: str
-               ) -> DataFrame:
+def fold_grams(df: DataFrame, assign: DataFrame, group: str, features: list[str], y: str,
+               labels: tuple | None = None) -> DataFrame:
     """(repeat, outer_fold, inner, idx, value): cross products of every fold block.
 
     A row adds to one block per (repeat, outer fold) inside its own partition;
     what is shuffled is partitions x blocks x columns^2, never rows or groups.
+    ``labels`` are those of :func:`set_labels`, if they are there already.
     """
-    lab, sets = fold_labels(assign, group)
+    lab, sets = labels[:2] if labels else fold_labels(assign, group)
     width = 2 * len(features) + 2
     iu = np.triu_indices(width)
     rows = df.select(group, F.array(*augmented(features, y)).alias("z")).join(
-        side_table(lab), group).select("z", "lab")
+        lab if labels else side_table(lab), group).select("z", "lab")
 
     def reduce(batches):
         acc: dict[tuple, np.ndarray] = {}
@@ -288,24 +309,21 @@ def _median_round(rows: DataFrame, edges: dict[int, np.ndarray], want: list[tupl
         locate, "f int, s int, left_out int, which string, n long, a double, b double, r long").collect()
 
 
-def fold_medians(df: DataFrame, assign: DataFrame, group: str, features: list[str], with_inner: bool
-                 ) -> DataFrame:
+def fold_medians(df: DataFrame, assign: DataFrame, group: str, features: list[str], with_inner: bool,
+                 labels: tuple | None = None) -> DataFrame:
     """Training medians per (repeat, outer fold, left-out inner fold; -1 = whole training set).
 
     A row belongs to many training sets and is never copied: the label of its group in every
     (repeat, outer fold) goes with it.  Tasks count rows by label and bucket between quantiles
     of the column; a round keeps the rows of the buckets that hold a median, until a bucket is
     one value.  There are several times as many buckets as medians, so every round sheds most
-    rows.  To the driver come one row a median and the bucket bounds.
+    rows.  To the driver come one row a median and the bucket bounds.  ``labels`` are those of
+    :func:`set_labels`, if they are there already.
     """
-    sets = sorted((r[0], r[1]) for r in assign.select("repeat", "outer_fold").distinct().collect())
-    top = assign.agg(F.max("inner")).first()[0]  # no inner fold: no training rows
+    lab, sets, top = labels or set_labels(assign, group)
     schema = "repeat int, outer_fold int, left_out int, " + ", ".join(f"`{f}` double" for f in features)
-    if top is None or top < 0:
+    if top < 0:  # no inner fold: no training rows
         return df.sparkSession.createDataFrame([], schema)
-    mine = lambda r, o: F.max(F.when((F.col("repeat") == r) & (F.col("outer_fold") == o), F.col("inner")))
-    lab = side_table(assign.groupBy(group).agg(F.array(*[
-        F.coalesce(mine(*s), F.lit(-1)).cast("int") for s in sets]).alias("lab")))
     values = df.select(group, F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), F.when(finite(F.col(c)), F.col(c).cast("double")).alias("x"))
         for i, c in enumerate(features)])).alias("v")).select(group, "v.*").where("x is not null")
@@ -413,10 +431,15 @@ def predict_oof(df: DataFrame, assign: DataFrame, fits: DataFrame, key: str, gro
     x = F.array(*[F.when(finite(F.col(f)), F.col(f).cast("double")) for f in features])
     j = df.select(key, group, F.col(y).cast("double").alias("y_true"), x.alias("x")).join(
         test, group).join(coefs, ["repeat", "outer_fold"])
-    filled = F.zip_with("x", "fill", lambda a, b: F.coalesce(a, b))
-    slopes = F.slice("coef", 2, len(features))
-    pred = F.element_at("coef", 1) + F.aggregate(
-        F.zip_with(filled, slopes, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    if len(features) <= UNROLLED:  # the same sum, compiled
+        total = F.lit(0.0)
+        for i in range(len(features)):
+            total = total + F.coalesce(F.col("x")[i], F.col("fill")[i]) * F.col("coef")[i + 1]
+    else:
+        filled = F.zip_with("x", "fill", lambda a, b: F.coalesce(a, b))
+        slopes = F.slice("coef", 2, len(features))
+        total = F.aggregate(F.zip_with(filled, slopes, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    pred = F.element_at("coef", 1) + total
     return j.select(F.col(key).alias("sample_id"), "repeat", "outer_fold", group, "y_true",
                     pred.alias("y_pred"))
 
@@ -426,7 +449,10 @@ def fixed_fits(df: DataFrame, assign: DataFrame, chosen: DataFrame, group: str,
     """Refit every outer fold with hyper-parameters looked up in ``chosen``; gaps take the
     median of the fold's training groups."""
     p, width = len(features), 2 * len(features) + 2
-    m = fold_grams(df, assign, group, features, y).where("inner >= 0").groupBy(
+    train = F.when(F.col("inner") >= 0, 0).otherwise(-1)  # inner folds have no say
+    assign = assign.withColumn("inner", train)
+    labels = set_labels(assign, group)
+    m = fold_grams(df, assign, group, features, y, labels).where("inner >= 0").groupBy(
         "repeat", "outer_fold", "idx").agg(F.sum("value").alias("value")).groupBy(
         "repeat", "outer_fold").agg(
         F.array_sort(F.collect_list(F.struct("idx", "value")))["value"].alias("m"))
@@ -434,7 +460,7 @@ def fixed_fits(df: DataFrame, assign: DataFrame, chosen: DataFrame, group: str,
     seen = df.agg(*[F.bool_or(~F.coalesce(finite(F.col(f)), F.lit(False))).alias(f) for f in features]).first()
     gaps = [f for f in features if seen[f]]
     if gaps:  # other columns need no fill
-        med = fold_medians(df, assign, group, gaps, False).select("repeat", "outer_fold", F.array(*[
+        med = fold_medians(df, assign, group, gaps, False, labels).select("repeat", "outer_fold", F.array(*[
             F.coalesce(F.col(f), F.lit(0.0)) if f in gaps else F.lit(0.0) for f in features]).alias("v"))
         j = j.join(med, ["repeat", "outer_fold"], "left")
     else:

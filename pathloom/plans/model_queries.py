@@ -38,6 +38,12 @@ def assignment(df, repeats=5):
     return materialize(Mo.hashed_inner_folds(outer, "grp", 5, 5, "inner"))
 
 
+def outer_assignment(df, repeats=5):
+    """The same outer folds for fits that have no inner ones."""
+    sizes = materialize(df.groupBy("grp").agg(F.count(F.lit(1)).alias("size")))
+    return Mo.outer_sets(materialize(Fo.grouped_folds(sizes, "grp", repeats, 5, "outer")), "grp", 5)
+
+
 @query("elasticnet_cv")
 def elasticnet_cv(spark, sf):
     df = materialize(order_features(spark, sf))
@@ -59,7 +65,7 @@ def elasticnet_oof_metrics(spark, sf):
 @query("fixed_hp_refit")
 def fixed_hp_refit(spark, sf):
     df = materialize(order_features(spark, sf))
-    a = assignment(df)
+    a = outer_assignment(df)
     chosen = a.select("repeat", "outer_fold").distinct().select(
         "repeat", "outer_fold", F.lit(0.01).alias("alpha"), F.lit(0.5).alias("l1_ratio"))
     fits = materialize(Mo.fixed_fits(df, a, chosen, "grp", FEATS, "y"))
