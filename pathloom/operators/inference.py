@@ -12,13 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pathloom.functions.columns import hash_mod
+from pathloom.functions.java import java_function
 from pathloom.operators.metrics import r2_from_sums, sufficient_stats
 from pathloom.operators.ordered import exact_quantiles, row_position, scan, value_ranks
 from pathloom.session import broadcast_if_small, materialize, side_table
 
 TASK_PICKS = 2_000_000  # picks that a task of a bootstrap makes
+JAVA_PICKS = 20_000_000  # the same where the JVM makes them
 PACKED = 48_000_000  # bytes of values that a bootstrap sends with its draws; beyond, picks are joined
 SLOTS = 100_000  # slots of a class whose picks are held together
 
@@ -234,17 +237,21 @@ def packed_blocks(placed: DataFrame, keys: list[str], idx: str, value: str, dtyp
     return blocks.groupBy(*keys, "block").applyInPandas(pack, schema)
 
 
+def draw_shares(spark, draws: int, parts: int) -> DataFrame:
+    """(first, end): the draws in ``parts`` tasks, more if there are cores, no more than draws."""
+    parts = min(draws, max(2 * spark.sparkContext.defaultParallelism, parts))
+    return spark.range(0, parts, 1, parts).select(
+        F.expr(f"cast(id * {draws} div {parts} as int)").alias("first"),
+        F.expr(f"cast((id + 1) * {draws} div {parts} as int)").alias("end"))
+
+
 def on_draws(blocks: DataFrame, rows: int, draws: int, run, schema) -> DataFrame:
     """``run(first draw, end, blocks)`` in tasks that share the draws out; a draw is one task's.
 
     ``blocks`` are short of ``PACKED`` bytes in all and reach every task; what a task makes is
     never shuffled but for the rows that ``run`` gives.
     """
-    spark = blocks.sparkSession
-    parts = min(draws, max(2 * spark.sparkContext.defaultParallelism, rows * draws // TASK_PICKS))
-    shares = spark.range(0, parts, 1, parts).select(
-        F.expr(f"cast(id * {draws} div {parts} as int)").alias("first"),
-        F.expr(f"cast((id + 1) * {draws} div {parts} as int)").alias("end"))
+    shares = draw_shares(blocks.sparkSession, draws, rows * draws // TASK_PICKS)
     whole = blocks.agg(F.collect_list(F.struct(*blocks.columns)).alias("blocks"))
 
     def each(batches):
@@ -405,31 +412,17 @@ def mean_difference_bootstrap(df: DataFrame, key: str, label: str, value: str, d
 
 
 def packed_mean_differences(placed: DataFrame, label: str, value: str, rows: int, draws: int, tag: str) -> DataFrame:
-    """(draw, delta) from rows (label, idx, value) that fit a task."""
+    """(draw, delta) from rows (label, idx, value) that fit a task: whole draws in the JVM, where a pick takes
+    a tenth of the time it takes in Python."""
     known = placed.where(F.col(label).isNotNull()).select(label, "idx", F.struct(
         F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.col(value).isNotNull().cast("double")).alias("v"))
     sides = {c: packed_blocks(known.select(label, "idx", F.col(f"v.col{i}").alias("x")), [label], "idx", "x", t)
-             for i, (c, t) in enumerate((("value", "float64"), ("seen", "int8")), 1)}
+             for i, (c, t) in enumerate((("value", "<f8"), ("seen", "int8")), 1)}
     blocks = sides["value"].join(sides["seen"].withColumnRenamed("data", "seen"), [label, "block"]).select(
-        F.col(label).cast("string").alias("label"), F.col(label).cast("double").alias("class"), "block", "data", "seen")
-
-    def run(first, end, blocks):
-        of: dict[tuple, list] = {}
-        for b in sorted(blocks, key=lambda b: b["block"]):
-            of.setdefault((b["label"], b["class"]), []).append((b["data"], b["seen"]))
-        of = {c: [np.frombuffer(b"".join(d), t) for d, t in zip(zip(*v), (np.float64, np.int8))] for c, v in of.items()}
-        out = []
-        for draw in range(first, end):
-            mean = {}
-            for (name, c), (x, seen) in of.items():
-                if c in (0, 1):
-                    total, some = 0.0, False
-                    for picks in slot_picks(tag, draw, name, len(x)):
-                        total += x[picks].sum()
-                        some = some or seen[picks].any()
-                    mean[c] = total / len(x) if some else None
-            both = [mean.get(c) for c in (1, 0)]
-            out.append((draw, None if None in both else both[0] - both[1]))
-        return pd.DataFrame(out, columns=["draw", "delta"])
-
-    return on_draws(blocks, rows, draws, run, "draw int, delta double")
+        F.col(label).cast("string").alias("label"), "block", F.col(label).cast("double").alias("class"), "data", "seen")
+    whole = blocks.agg(F.array_sort(F.collect_list(F.struct(*blocks.columns))).alias("blocks")).where(F.size("blocks") > 0)
+    spark = placed.sparkSession
+    deltas = java_function(spark, "MeanDifferences", ArrayType(DoubleType()))
+    shares = draw_shares(spark, draws, rows * draws // JAVA_PICKS).join(F.broadcast(whole))
+    return shares.select("first", F.posexplode(deltas(F.lit(tag), "first", "end", "blocks")).alias("nth", "delta")).select(
+        (F.col("first") + F.col("nth")).alias("draw"), "delta")

@@ -197,6 +197,34 @@ def test_bootstraps_keep_picks_in_their_task_and_match_joined_picks(spark, monke
     assert len(large) == 30 and all(abs(small[d] - large[d]) < 1e-12 for d in large)
 
 
+def test_mean_differences_are_made_of_hashes_in_the_jvm(spark):
+    import hashlib
+
+    lanes = 1024  # of MeanDifferences.java
+    rows = [(k, 0 if k < 2 * lanes + 30 else 1 if k < 2 * lanes + 500 else 2 if k % 2 else None,
+             None if k % 7 == 0 else float(k % 101)) for k in range(2 * lanes + 600)]
+    df = spark.createDataFrame(rows, "k int, y int, x double").repartition(5)
+    of = {c: [x for _, y, x in rows if y == c] for c in (0, 1)}
+    for tag in ("t", "t" * 43, "t" * 44, "t" * 45, "t" * 46, "ü" * 70):  # a message fills a block, or more
+        frame = I.mean_difference_bootstrap(df, "k", "y", "x", 12, tag)
+        assert "MapInPandas" not in frame._jdf.queryExecution().toString()  # no pick is made in Python
+        got = {r["draw"]: r["delta"] for r in frame.collect()}
+        assert sorted(got) == list(range(12))
+        for draw in (0, 9, 10, 11):
+            mean = {c: sum(x[int(hashlib.sha256(f"{tag}|{draw}|{c}|{i}".encode()).hexdigest()[:13], 16) % len(x)] or 0.0
+                           for i in range(len(x))) / len(x) for c, x in of.items()}
+            assert abs(got[draw] - (mean[1] - mean[0])) < 1e-9
+
+
+def test_mean_differences_without_values_are_null(spark):
+    deltas = lambda rows: [r["delta"] for r in I.mean_difference_bootstrap(
+        spark.createDataFrame(rows, "k int, y int, x double"), "k", "y", "x", 3, "t").collect()]
+    assert deltas([(1, 0, 2.0), (2, 1, 5.0), (3, None, 9.0), (4, 7, 9.0)]) == [3.0] * 3
+    assert deltas([(1, 0, 2.0), (2, 1, None)]) == deltas([(1, 0, 2.0)]) == deltas([(1, 7, 2.0)]) == [None] * 3
+    assert deltas([(1, 0, 2.0), (2, 1, float("nan"))]) == [None] * 3
+    assert deltas([(1, None, 2.0)]) == []
+
+
 def test_slot_picks_are_the_hashes_across_blocks():
     import hashlib
 
